@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lodestone.llm import chat
+from lodestone.llm.mixing import op4_mix_sources
 from lodestone.llm.simhash import op1_simhash_near_dedup
+from lodestone.llm.tokencount import op2_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_chat_format": chat.op3_chat_format,
+    "op4_mix_sources": op4_mix_sources,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.op3_sql()}
