@@ -5,6 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from lodestone.llm import chat
 from lodestone.llm.classlm import op9_lm_scores
+from lodestone.llm.decontaminate import op8_decontaminate
+from lodestone.llm.linededup import op5_line_dedup
 from lodestone.llm.mixing import op4_mix_sources
 from lodestone.llm.quality import op10_quality
 from lodestone.llm.simhash import op1_simhash_near_dedup
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_chat_format": chat.op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_lm_scores": op9_lm_scores,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
