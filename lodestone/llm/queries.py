@@ -8,6 +8,7 @@ from lodestone.llm.classlm import op9_lm_scores
 from lodestone.llm.decontaminate import op8_decontaminate
 from lodestone.llm.linededup import op5_line_dedup
 from lodestone.llm.mixing import op4_mix_sources
+from lodestone.llm.ordermin import op7_fingerprints
 from lodestone.llm.quality import op10_quality
 from lodestone.llm.simhash import op1_simhash_near_dedup
 from lodestone.llm.tokencount import op2_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_scores": op9_lm_scores,
     "op10_quality": op10_quality,
