@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
@@ -168,15 +168,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
+def is_clean(text: Column, block: Benchmark, coverage: float) -> Column:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not block.hits(x, coverage) for x in texts], dtype="bool")
+
+    return clean(text)
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that cover enough of no item."""
     for block in benchmark_blocks(items, min_match, block_chars):
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, block=block) -> pd.Series:
-            return pd.Series([not block.hits(x, coverage) for x in texts], dtype="bool")
-
-        docs = docs.where(clean(F.col(text_col).cast("string")))
+        docs = docs.where(is_clean(F.col(text_col).cast("string"), block, coverage))
     return docs
 
 

@@ -20,6 +20,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(SPACE.replace("[", "[^") + "+")), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """Orders sources by code point, null last."""
+    return F.struct(source.isNull().alias("absent"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
+
+
 def running_before(rows: DataFrame, group: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """rows with out: the sum of value over the rows of its group that come before it, by bucket and order.
 
@@ -62,8 +67,7 @@ def place(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str
     orders sources by code point, null last. The shuffle is by a hash of the
     id, so reruns agree. Repeated rows take places of their own.
     """
-    key = F.struct(F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("source_key"), size.alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source_key"), size.alias("size"))
     rows = cut_lineage(rows.withColumn("mixed", F.xxhash64(F.lit("shuffle"), "id")).withColumn("bucket", F.pmod("mixed", F.lit(buckets))))
     sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, list(weights), share, most)
@@ -124,11 +128,34 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table, or one without any word, gives targets of 0 and no slot.
     """
     placed = place(docs, word_count(F.col(text_col)), id_col, source_col, **options)
+    return taken_of(placed, options.get("most", 2.0)).select("id", "size", "source_size", "target", "taken")
+
+
+def taken_of(placed: DataFrame, most: float = 2.0) -> DataFrame:
+    """placed with taken, the words of each row that the mix takes."""
     keys = ["source_key", "start", "id", "size"]
-    taken = mix(placed, options.get("most", 2.0)).groupBy(*keys).agg(F.sum("length").alias("taken"))
+    taken = mix(placed, most).groupBy(*keys).agg(F.sum("length").alias("taken"))
     taken = taken.select(*[F.col(k).alias(f"taken_{k}") for k in keys], "taken")
     same = [F.col(k).eqNullSafe(F.col(f"taken_{k}")) for k in keys]
-    return placed.join(taken, same, "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken, same, "left").select(*placed.columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken_words")).withColumnRenamed("taken_words", "taken")
+
+
+def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with size, source_size, target and taken.
+
+    Rows are told apart by id, source and size; of repeated ones each gets
+    the place of one of them. Columns of docs with these names are replaced.
+    """
+    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    count = word_count(F.col(text_col))
+    done = taken_of(place(docs, count, id_col, source_col, **options), options.get("most", 2.0))
+    turn = Window.partitionBy("id", "source_key", "size")
+    done = done.withColumn("nth", F.row_number().over(turn.orderBy("start", "taken"))).select(F.col("id").alias("_id"), F.col("source_key").alias("_key"), F.col("size").alias("_of"), F.col("nth").alias("_nth"), "source_size", "target", "taken")
+    rows = docs.select(*columns, count.alias("size"), source_key(F.col(source_col)).alias("_own_key"))
+    own = Window.partitionBy(id_col, "_own_key", "size").orderBy(F.xxhash64(text_col))
+    rows = rows.withColumn("_own_nth", F.row_number().over(own))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")) & (F.col("size") == F.col("_of")) & (F.col("_own_nth") == F.col("_nth"))
+    return rows.join(done, same).select(*columns, "size", "source_size", "target", "taken")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

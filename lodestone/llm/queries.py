@@ -6,6 +6,7 @@ import corpus_pipeline
 from lodestone.llm import chat
 from lodestone.llm.classlm import op9_lm_scores
 from lodestone.llm.decontaminate import op8_decontaminate
+from lodestone.llm.htmltext import op6_html_text
 from lodestone.llm.linededup import op5_line_dedup
 from lodestone.llm.mixing import op4_mix_sources
 from lodestone.llm.ordermin import op7_fingerprints
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html_text": op6_html_text,
     "op7_fingerprints": op7_fingerprints,
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_scores": op9_lm_scores,
