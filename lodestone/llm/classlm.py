@@ -56,7 +56,7 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, passes: int = P
             gain = rows.sum(1) + cols.sum(0) - np.diag(rows) - np.diag(cols)
             diag = np.diag(table_)
             gain += h(diag + r + l + own) - h(diag)
-            out, into = table_.sum(1), table_.sum(0)
+            out, into = table_.sum(1) + l, table_.sum(0) + r  # u is somewhere whatever its class
             gain -= h(out + r.sum() + own) - h(out) + h(into + l.sum() + own) - h(into)
             gain[classes - 1] = -np.inf
             b = int(np.argmax(gain))
