@@ -134,12 +134,20 @@ def labelled_pages() -> list[tuple[list[tuple[str, bool]], str]]:
         name, _, cls = kind.strip().partition(".")
         return f'<{name}{f" class={cls!r}" if cls else ""}>{inner}</{name}>'
 
+    def content_of(kind: str) -> str:
+        said = f"{WORDS} {WORDS}, <a>sit</a> <b>amet</b>."
+        items = {"ul": "li", "ol": "li", "table": "td", "dl": "dd", "figure": "figcaption"}.get(kind.strip())
+        if not items:
+            return element(kind, said)
+        inner = f"<{items}>{said}</{items}>" * 2
+        return element(kind, f"<thead><tr><th>{WORDS}</th></tr></thead><tbody><tr>{inner}</tr></tbody>" if items == "td" else f"<dt>{WORDS}</dt>{inner}" if items == "dd" else inner)
+
     noise = [x for x in NOISE_EXAMPLES.split("|") if x.strip()]
     content = [x for x in CONTENT_EXAMPLES.split("|") if x.strip()]
     pages = []
     for i, kind in enumerate(noise):
         links = "".join(f'<a href="/{w}">{w}</a> ' for w in WORDS.split())
-        body = [(element(content[(i + k) % len(content)], f"{WORDS} {WORDS}, <a>sit</a> <b>amet</b>."), True) for k in range(4)]
+        body = [(content_of(content[(i + k) % len(content)]), True) for k in range(4)]
         body.insert(2, (element(kind, f"<p>{WORDS}</p>"), False))
         pages.append([(element(kind, f"<ul><li>{links}</ul>"), False), *[(f"<p>{WORDS}</p>", True)] * 3, *body, (element(kind, WORDS), False), (f"<div>{links}</div>", False)])
     return pages
