@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut_lineage, table
+from lodestone.llm.common import cut_lineage, fresh, table
 
 #: Code points from which lines are compared within one edit and not only for being equal.
 NEAR_CHARS = 20
@@ -114,17 +114,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each keeps what the first of them keeps. Columns of docs named n_lines or
     n_dropped are replaced.
     """
-    dropped = dropped_lines(docs, id_col, text_col).groupBy("doc", "twin").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
-    dropped = dropped.select(F.col("doc").alias("_gone_doc"), F.col("twin").alias("_gone_twin"), F.col("gone").alias("_gone"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_gone_doc", "_gone_twin", "_gone")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.select(*columns, F.xxhash64(text).alias("_twin")).join(dropped, F.col(id_col).eqNullSafe(F.col("_gone_doc")) & (F.col("_twin") == F.col("_gone_twin")), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    whole = F.col("_gone").isNull() | F.col(text_col).isNull()
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.element_at("_lines", i + 1)), "\n")
-    joined = joined.withColumn("_lines", lines)
-    out = joined.withColumn(text_col, F.when(whole, F.col(text_col).cast("string")).otherwise(kept))
-    out = out.withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own, gone_doc, gone_twin, gone, lines = fresh(docs.columns, "twin", "gone_doc", "gone_twin", "gone", "lines")
+    dropped = dropped_lines(docs, id_col, text_col).groupBy("doc", "twin").agg(F.sort_array(F.collect_list("line_no")).alias("numbers"))
+    dropped = dropped.select(F.col("doc").alias(gone_doc), F.col("twin").alias(gone_twin), F.col("numbers").alias(gone))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(*columns, F.xxhash64(F.coalesce(text, F.lit(""))).alias(own))
+    joined = rows.join(dropped, F.col(id_col).eqNullSafe(F.col(gone_doc)) & (F.col(own) == F.col(gone_twin)), "left").withColumn(lines, F.split(text, "\n"))
+    whole = F.col(gone).isNull() | F.col(text_col).isNull()
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.element_at(lines, i + 1)), "\n")
+    out = joined.withColumn(text_col, F.when(whole, text).otherwise(kept))
+    out = out.withColumn("n_lines", F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
     return out.select(*columns, "n_lines", "n_dropped")
 
 

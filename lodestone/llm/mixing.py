@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, cut_lineage, table
+from lodestone.llm.common import SPACE, cut_lineage, fresh, table
 
 #: Tokens in a block at most, blocks that a source is cut into at least (if it has the tokens).
 BLOCK_TOKENS = 2048
@@ -149,12 +149,14 @@ def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "so
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     count = word_count(F.col(text_col))
     done = taken_of(place(docs, count, id_col, source_col, **options), options.get("most", 2.0))
+    names = fresh([*docs.columns, "size", "source_size", "target", "taken"], "key", "nth", "of_id", "of_key", "of_size", "of_nth")
+    key, nth, of_id, of_key, of_size, of_nth = names
     turn = Window.partitionBy("id", "source_key", "size")
-    done = done.withColumn("nth", F.row_number().over(turn.orderBy("start", "taken"))).select(F.col("id").alias("_id"), F.col("source_key").alias("_key"), F.col("size").alias("_of"), F.col("nth").alias("_nth"), "source_size", "target", "taken")
-    rows = docs.select(*columns, count.alias("size"), source_key(F.col(source_col)).alias("_own_key"))
-    own = Window.partitionBy(id_col, "_own_key", "size").orderBy(F.xxhash64(text_col))
-    rows = rows.withColumn("_own_nth", F.row_number().over(own))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")) & (F.col("size") == F.col("_of")) & (F.col("_own_nth") == F.col("_nth"))
+    done = done.withColumn(of_nth, F.row_number().over(turn.orderBy("start", "taken"))).select(F.col("id").alias(of_id), F.col("source_key").alias(of_key), F.col("size").alias(of_size), of_nth, "source_size", "target", "taken")
+    rows = docs.select(*columns, count.alias("size"), source_key(F.col(source_col)).alias(key))
+    own = Window.partitionBy(id_col, key, "size").orderBy(F.xxhash64(text_col))
+    rows = rows.withColumn(nth, F.row_number().over(own))
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)) & (F.col("size") == F.col(of_size)) & (F.col(nth) == F.col(of_nth))
     return rows.join(done, same).select(*columns, "size", "source_size", "target", "taken")
 
 

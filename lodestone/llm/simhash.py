@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import FOLD, connected_components, cut_lineage, table
+from lodestone.llm.common import FOLD, connected_components, cut_lineage, fresh, table
 
 SEED = 42
 #: Members of a posting list that one task compares directly; longer lists go by variants.
@@ -135,25 +135,32 @@ def near_links(prints: DataFrame, max_bits: int = 4, list_limit: int = LIST_LIMI
     return direct.union(by_variant).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(id, fp, component_id) for every row of docs.
+def rooted_rows(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, list_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(id, twin, fp) of every row, twin being a hash of its text, and (fp, root, component_id) of every fingerprint."""
 
-    component_id is the smallest id reachable over links, itself included; it
-    is null only where all ids of a group are null. Rows of one fingerprint
-    are one node, so copies never form pairs. Repeated rows stay repeated; an
-    empty table gives an empty result; other columns of docs are not read.
-    """
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(x, width) for x in texts], dtype="int64")
 
-    prints = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), fingerprint(F.col(text_col).cast("string")).alias("fp")))
+    text = F.col(text_col).cast("string")
+    prints = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("twin"), fingerprint(text).alias("fp")))
     firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
     roots = connected_components(near_links(firsts, max_bits, list_limit))
     rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    return prints, rooted.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(id, fp, component_id) for every row of docs.
+
+    component_id is the smallest id reachable over links, itself included; it
+    is null only where all ids of a group are null. Rows of one fingerprint
+    are one node, so copies never form pairs. Repeated rows stay repeated; an
+    empty table gives an empty result; other columns of docs are not read.
+    """
+    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
+    return prints.join(groups, "fp").select("id", "fp", "component_id")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,11 +169,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are the first of their group of near copies.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """One row of docs for each group of near copies: that of the smallest id.
 
-    Of repeated rows (same doc_id and text) one stays; rows without doc_id
-    stay only where their whole group has none.
+    Of different texts with that id the one of the least hash stays, of
+    repeated rows one. A group without any id keeps one row too.
     """
-    chosen = near_groups(docs, **options).where("id <=> component_id").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
+    least = prints.join(groups, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "twin")).alias("least"))
+    own, kept_id, kept_twin = fresh(docs.columns, "twin", "kept_id", "kept_twin")
+    chosen = least.select(F.col("least.id").alias(kept_id), F.col("least.twin").alias(kept_twin))
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_twin))
+    return rows.join(chosen, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
