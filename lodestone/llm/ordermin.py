@@ -74,29 +74,25 @@ def as_text(sign: Column) -> Column:
     return F.array_join(F.transform(sign, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
 
-def with_next(rows: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
-    """rows with next_<c> for each c of carried: that of the next row by descending id, the first after the last.
+def stretch_of(id_: Column) -> Column:
+    return F.coalesce(F.floor(id_ / STRETCH), F.lit(-(1 << 54))).cast("long")
 
-    Ids without value come last; equal ids go by the hash of carried[0].
-    Stretches of ids are ordered apart from each other; of each stretch only
-    the first row goes to the one before, and which stretch follows comes
-    from the stretches' numbers alone, in two levels.
+
+def stretch_heads(rows: DataFrame) -> DataFrame:
+    """(_from, _head): for each stretch of ids in rows (id, text) the text of the row after its last one.
+
+    That is the first row of the next stretch below, for the lowest stretch
+    the first of all. A stretch's first row is a partial maximum, and which
+    stretch follows comes from the stretches' numbers alone, in two levels.
     """
-    stretch = F.coalesce(F.floor(F.col(id_col) / STRETCH), F.lit(-(1 << 54))).cast("long")
-    order = Window.partitionBy("_stretch").orderBy(F.col(id_col).desc(), F.xxhash64(carried[0]))
-    led = rows.withColumn("_stretch", stretch)
-    led = led.withColumns({f"_{c}": F.lead(c).over(order) for c in carried} | {"_nth": F.row_number().over(order)})
-    heads = led.where("_nth = 1").select(F.col("_stretch").alias("_head"), *[F.col(c).alias(f"_head_{c}") for c in carried])
-    numbers = heads.select(F.col("_head").alias("n"), F.floor(F.col("_head") / 4096).alias("far"))
+    firsts = rows.groupBy(stretch_of(F.col("id")).alias("_to")).agg(F.max_by("text", F.struct("id", F.bitwise_not(F.xxhash64("text")))).alias("_head"))
+    numbers = rows.select(stretch_of(F.col("id")).alias("n")).distinct().withColumn("far", F.floor(F.col("n") / 4096))
     within = numbers.withColumn("next", F.lead("n").over(Window.partitionBy("far").orderBy(F.col("n").desc())))
     tops = numbers.groupBy("far").agg(F.max("n").alias("top"))
     every = Window.orderBy(F.col("far").desc())
     follows = tops.select("far", F.coalesce(F.lead("top").over(every), F.first("top").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("over"))
     links = within.join(follows, "far").select(F.col("n").alias("_from"), F.coalesce("next", "over").alias("_to"))
-    after = links.join(heads, links["_to"] == heads["_head"]).drop("_to", "_head")
-    joined = led.join(after, F.col("_stretch") == F.col("_from"), "left")
-    final = {f"next_{c}": F.when(F.col(f"_{carried[0]}").isNull(), F.col(f"_head_{c}")).otherwise(F.col(f"_{c}")) for c in carried}
-    return joined.select(*rows.columns, *[v.alias(k) for k, v in final.items()])
+    return links.join(firsts, "_to").select("_from", "_head")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,15 +100,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has, in place of the last third of the code points (n div
     3), as many of the next document by descending id, or all of it; the
-    first follows the last. A null text counts as empty. Repeated rows follow
-    each other; one row alone follows itself.
+    first follows the last. Ids without value come last, equal ids by a hash
+    of the text. A null text counts as empty. Repeated rows follow each
+    other; one row alone follows itself.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sign", signature(F.col("text"))), "id", ["text", "sign"])
+    order = Window.partitionBy("_stretch").orderBy(F.col("id").desc(), F.xxhash64("text"))
+    led = rows.withColumn("sign", signature(F.col("text"))).withColumn("_stretch", stretch_of(F.col("id")))
+    led = led.withColumns({"_text": F.lead("text").over(order), "_sign": F.lead("sign").over(order)})
+    led = led.join(stretch_heads(rows), F.col("_stretch") == F.col("_from"), "left")
+    last = F.col("_text").isNull()
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    whole = rows.select("id", n.cast("long").alias("n_chars"), "sign", "next_sign", F.explode(F.array(edited)).alias("edited"))
+    following = F.when(last, F.col("_head")).otherwise(F.col("_text"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(following, F.lit(1), third))
+    next_sign = F.when(last, signature(F.col("_head"))).otherwise(F.col("_sign"))
+    whole = led.select("id", n.cast("long").alias("n_chars"), "sign", next_sign.alias("next_sign"), F.explode(F.array(edited)).alias("edited"))
     signed = whole.withColumn("edited_sign", signature(F.col("edited"))).select("id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sign", "next_sign", F.explode(F.array("edited_sign")).alias("edited_sign"))
     return signed.select("id", "n_chars", "edited_sha256", as_text(F.col("sign")).alias("fingerprint"), as_text(F.col("edited_sign")).alias("edited_fingerprint"), likeness(F.col("sign"), F.col("edited_sign")).alias("near_edited"), likeness(F.col("sign"), F.col("next_sign")).alias("near_next"))
 
