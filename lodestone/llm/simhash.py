@@ -177,8 +177,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
     least = prints.join(groups, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "twin")).alias("least"))
-    own, kept_id, kept_twin = fresh(docs.columns, "twin", "kept_id", "kept_twin")
-    chosen = least.select(F.col("least.id").alias(kept_id), F.col("least.twin").alias(kept_twin))
-    rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_twin))
-    return rows.join(chosen, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    own, number, absent, kept_number, kept_absent, kept_twin = fresh(docs.columns, "twin", "number", "absent", "kept_number", "kept_absent", "kept_twin")
+    place = lambda c: (F.coalesce(c, F.lit(0)), c.isNull())  # noqa: E731  plain keys, so that the join and the last step share one shuffle
+    a, b = place(F.col("least.id"))
+    chosen = least.select(a.alias(kept_number), b.alias(kept_absent), F.col("least.twin").alias(kept_twin))
+    a, b = place(F.col(id_col).cast("long"))
+    rows = docs.withColumns({number: a, absent: b, own: F.xxhash64(F.col(text_col).cast("string"))})
+    same = (F.col(number) == F.col(kept_number)) & (F.col(absent) == F.col(kept_absent)) & (F.col(own) == F.col(kept_twin))
+    return rows.join(chosen, same, "left_semi").dropDuplicates([number, absent, own]).drop(number, absent, own)
