@@ -131,3 +131,43 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_lines and n_dropped of every document after line dedup."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_sql() -> str:
+    """The same as DuckDB SQL: lines that share a half are compared from their first differing code point on."""
+    halves = " UNION ALL ".join(
+        f"SELECT place, line, {frame} AS frame, '{side}' AS side, md5({part}) AS part FROM near"
+        for frame in ("n", "n - 1")
+        for side, part in (("head", f"left(line, ({frame}) // 2)"), ("tail", f"right(line, {frame} - ({frame}) // 2)"))
+    )
+    return rf"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
+), lines AS (
+  SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM split
+), firsts AS (
+  SELECT line, min(place) AS place, length(line) AS n FROM lines WHERE solid GROUP BY line
+), near AS (
+  SELECT * FROM firsts WHERE n >= {NEAR_CHARS}
+), halves AS (
+  {halves}
+), pairs AS (
+  SELECT DISTINCT a.place AS first, b.place AS later,
+    CASE WHEN length(a.line) <= length(b.line) THEN a.line ELSE b.line END AS short,
+    CASE WHEN length(a.line) <= length(b.line) THEN b.line ELSE a.line END AS long
+  FROM halves a JOIN halves b ON a.frame = b.frame AND a.side = b.side AND a.part = b.part AND a.place < b.place
+), agreeing AS (
+  SELECT *, coalesce(list_position(list_transform(range(1, length(short) + 1), lambda i: substr(short, i, 1) <> substr(long, i, 1)), true) - 1, length(short)) AS p FROM pairs
+), gone AS (
+  SELECT DISTINCT later AS place FROM agreeing
+  WHERE CASE WHEN length(short) = length(long) THEN substr(short, p + 2) = substr(long, p + 2) ELSE substr(short, p + 1) = substr(long, p + 2) END
+), kept AS (
+  SELECT place FROM firsts WHERE place NOT IN (SELECT place FROM gone)
+), told AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT solid OR place IN (SELECT place FROM kept)) AS left_over,
+    count(*) FILTER (WHERE solid AND place NOT IN (SELECT place FROM kept)) AS n_dropped
+  FROM lines GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN n_dropped > 0 THEN coalesce(left_over, '') ELSE text END AS text,
+  CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped
+FROM documents LEFT JOIN told USING (doc_id)"""
