@@ -20,6 +20,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(SPACE.replace("[", "[^") + "+")), F.lit(0)).cast("long")
 
 
+def mixed(id_: Column) -> Column:
+    """Where a hash of the id puts a row in the shuffle: 60 bits of its MD5, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("shuffle "), F.coalesce(id_.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+
+
 def source_key(source: Column) -> Column:
     """Orders sources by code point, null last."""
     return F.struct(source.isNull().alias("absent"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
@@ -68,7 +73,7 @@ def place(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str
     id, so reruns agree. Repeated rows take places of their own.
     """
     rows = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source_key"), size.alias("size"))
-    rows = cut_lineage(rows.withColumn("mixed", F.xxhash64(F.lit("shuffle"), "id")).withColumn("bucket", F.pmod("mixed", F.lit(buckets))))
+    rows = cut_lineage(rows.withColumn("mixed", mixed(F.col("id"))).withColumn("bucket", F.pmod("mixed", F.lit(buckets))))
     sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, list(weights), share, most)
     least = F.least(F.col("source_size"), F.lit(LEAST_BLOCKS))
@@ -163,3 +168,47 @@ def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "so
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     return taken_words(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_sql(weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, buckets: int = 1024) -> str:
+    """The same as DuckDB SQL, for ids that occur once: slots are dealt by the place of their point among the sources' intervals."""
+    listed = ", ".join(str(float(w)) for w in weights)
+    blank = SPACE.replace("[", "[^") + "+"
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{blank}')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('shuffle ' || doc_id), 1, 15))::BIGINT AS mixed FROM documents
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY mixed % {buckets}, mixed, doc_id) - size AS start FROM docs
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, {most}::DOUBLE * source_size AS cap, ([{listed}]::DOUBLE[])[(rank % {len(weights)} + 1)::INT] AS weight,
+    greatest(ceil(source_size / {BLOCK_TOKENS}.0), least(source_size, {LEAST_BLOCKS}))::BIGINT AS blocks FROM sources
+), leveled AS (
+  SELECT *, ((SELECT sum(source_size) FROM sources)::DOUBLE * {share}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), stopped AS (
+  SELECT *, CASE WHEN cap <= level * weight THEN cap ELSE (SELECT arg_min(level, cap / weight) FROM leveled WHERE cap > level * weight) * weight END AS target FROM leveled
+), needs AS (
+  SELECT *, target / source_size * blocks AS need FROM stopped WHERE source_size > 0
+), spans AS (
+  SELECT *, sum(need) OVER (ORDER BY rank) / sum(need) OVER () AS high, round(sum(need) OVER ())::BIGINT AS slots FROM needs
+), points AS (
+  SELECT slot, ((slot::HUGEINT * {GOLDEN}::HUGEINT) % {1 << 64}::HUGEINT)::DOUBLE / {1 << 64}::DOUBLE AS point
+  FROM (SELECT unnest(range(1, (SELECT max(slots) FROM spans) + 1)) AS slot)
+), dealt AS (
+  SELECT slot, (SELECT coalesce(min(rank) FILTER (WHERE point < high), max(rank)) FROM spans) AS rank FROM points
+), turns AS (
+  SELECT slot, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth FROM dealt
+), used AS (
+  SELECT rank, nth % blocks AS block, count(*) AS times FROM turns JOIN spans USING (rank) WHERE nth < blocks * {most} GROUP BY ALL
+), edges AS (
+  SELECT rank, block, times, block::HUGEINT * source_size // blocks AS low, (block + 1)::HUGEINT * source_size // blocks AS high FROM used JOIN needs USING (rank)
+), taken AS (
+  SELECT doc_id, sum(times * (least(e.high, start + size) - greatest(e.low, start)))::BIGINT AS taken
+  FROM placed JOIN stopped s ON placed.source IS NOT DISTINCT FROM s.source JOIN edges e ON e.rank = s.rank AND e.low < start + size AND e.high > start
+  GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM placed JOIN stopped s ON placed.source IS NOT DISTINCT FROM s.source LEFT JOIN taken USING (doc_id)"""

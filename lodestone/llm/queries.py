@@ -8,7 +8,7 @@ from lodestone.llm.classlm import op9_lm_scores
 from lodestone.llm.decontaminate import op8_decontaminate
 from lodestone.llm.htmltext import op6_html_text
 from lodestone.llm.linededup import op5_line_dedup, op5_sql
-from lodestone.llm.mixing import op4_mix_sources
+from lodestone.llm.mixing import op4_mix_sources, op4_sql
 from lodestone.llm.ordermin import op7_fingerprints
 from lodestone.llm.quality import op10_quality
 from lodestone.llm.simhash import op1_simhash_near_dedup
@@ -28,4 +28,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.op3_sql(), "op5_line_dedup": op5_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.op3_sql(), "op4_mix_sources": op4_sql(), "op5_line_dedup": op5_sql()}
