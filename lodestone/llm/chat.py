@@ -60,19 +60,30 @@ def render_incrementally(template: Template, turns: list[Turn]) -> tuple[str, li
     rendering the prefix with a probe as its last text. A template rewrites
     history if some output doesn't begin with the one before; then each text
     is placed by a probe in the whole conversation, and a text that the
-    template left out or changed has no place.
+    template left out or changed has no place. Only the last two outputs are
+    held, so memory grows with the conversation and not with its square.
     """
-    outputs = [template.render(turns[:k]) for k in range(len(turns) + 1)]
-    rewrites = any(not b.startswith(a) for a, b in zip(outputs, outputs[1:], strict=False))
-    final, places = outputs[-1], []
+    before, places, rewrites = template.render([]), [], False
     for k, (role, _) in enumerate(turns):
-        probed = template.render([*turns[:k], (role, PROBE), *(turns[k + 1 :] if rewrites else [])])
-        upto = final if rewrites else outputs[k + 1]
-        low = probed.find(PROBE, 0 if rewrites else len(outputs[k]))
-        tail = len(probed) - low - len(PROBE)
-        fits = low >= 0 and low + tail <= len(upto) and upto[:low] == probed[:low] and upto[len(upto) - tail :] == probed[low + len(PROBE) :]
-        places.append((low, len(upto) - tail) if fits else None)
-    return final, places, rewrites
+        output = template.render(turns[: k + 1])
+        if not output.startswith(before):
+            rewrites = True
+            break
+        places.append(place_of_text(template.render([*turns[:k], (role, PROBE)]), output, len(before)))
+        before = output
+    if rewrites:
+        before = template.render(turns)
+        places = [place_of_text(template.render([*turns[:k], (role, PROBE), *turns[k + 1 :]]), before, 0) for k, (role, _) in enumerate(turns)]
+    return before, places, rewrites
+
+
+def place_of_text(probed: str, output: str, start: int) -> tuple[int, int] | None:
+    """Where output holds the text in whose stead probed has the probe, from start on; None if all else isn't alike."""
+    low = probed.find(PROBE, start)
+    tail = len(probed) - low - len(PROBE)
+    if low < 0 or low + tail > len(output) or output[:low] != probed[:low] or output[len(output) - tail :] != probed[low + len(PROBE) :]:
+        return None
+    return low, len(output) - tail
 
 
 def format_conversations(rows: DataFrame, template: Template, loss_role: str = "assistant") -> DataFrame:
