@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import FOLD, connected_components, cut_lineage, fresh, table
@@ -169,19 +169,28 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One row of docs for each group of near copies: that of the smallest id.
+def place(c: Column) -> tuple[Column, Column]:
+    """An id as plain keys, so that the join and the last step share one shuffle."""
+    return F.coalesce(c, F.lit(0)), c.isNull()
 
-    Of different texts with that id the one of the least hash stays, of
-    repeated rows one. A group without any id keeps one row too.
-    """
-    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
+
+def first_of_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root of groups (fp, root): that of the smallest id among prints (id, twin, fp)."""
     least = prints.join(groups, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "twin")).alias("least"))
     own, number, absent, kept_number, kept_absent, kept_twin = fresh(docs.columns, "twin", "number", "absent", "kept_number", "kept_absent", "kept_twin")
-    place = lambda c: (F.coalesce(c, F.lit(0)), c.isNull())  # noqa: E731  plain keys, so that the join and the last step share one shuffle
     a, b = place(F.col("least.id"))
     chosen = least.select(a.alias(kept_number), b.alias(kept_absent), F.col("least.twin").alias(kept_twin))
     a, b = place(F.col(id_col).cast("long"))
     rows = docs.withColumns({number: a, absent: b, own: F.xxhash64(F.col(text_col).cast("string"))})
     same = (F.col(number) == F.col(kept_number)) & (F.col(absent) == F.col(kept_absent)) & (F.col(own) == F.col(kept_twin))
     return rows.join(chosen, same, "left_semi").dropDuplicates([number, absent, own]).drop(number, absent, own)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """One row of docs for each group of near copies: that of the smallest id.
+
+    Of different texts with that id the one of the least hash stays, of
+    repeated rows one. A group without any id keeps one row too.
+    """
+    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
+    return first_of_groups(docs, prints, groups, id_col, text_col)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import chat, classlm, decontaminate, htmltext, linededup, mixing, ordermin, quality, queries, simhash, tokencount
+from lodestone.llm import chat, classlm, decontaminate, htmltext, jaccard, linededup, mixing, ordermin, quality, queries, simhash, tokencount
 from lodestone.llm.common import connected_components
 from oracle import assert_same
 
@@ -540,3 +540,32 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.count() <= rows.count()
+
+
+def test_near_stage_equals_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (6, 12, 40, 90, 300):
+        for _ in range(4):
+            base = [f"v{rng.randrange(5000)}" for _ in range(n)]
+            for _ in range(9):
+                words = list(base)
+                for _ in range(rng.randint(0, 1 + n // 60)):
+                    words[rng.randrange(n)] = f"x{rng.randrange(5000)}"
+                texts.append(" ".join(words))
+    passage = " ".join(f"common{k}" for k in range(12))  # a hot list of texts that aren't alike
+    texts += [" ".join([passage, *(f"y{rng.randrange(5000)}" for _ in range(25))]) for _ in range(40)]
+    rng.shuffle(texts)
+    held = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    similar = [[5 * len(a & b) >= 4 * len(a | b) for b in held] for a in held]
+    first = list(range(len(texts)))
+    for _ in texts:
+        now = [min(first[j] for j in range(len(texts)) if similar[i][j]) for i in range(len(texts))]
+        if now == first:
+            break
+        first = now
+    prints = [plain_simhash(t) for t in texts]
+    assert any(similar[i][j] and (prints[i] ^ prints[j]).bit_count() > 4 for i in range(len(texts)) for j in range(i))
+    docs = docs_of(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == set(first)
+    assert {r["doc_id"] for r in jaccard.keep_first(docs, block=3).collect()} == set(first)
