@@ -15,7 +15,7 @@ from lodestone.llm.common import table
 
 Turn = tuple[str, str]
 START, END = "<|im_start|>", "<|im_end|>"
-#: Stands in for a text while its place in the output is looked for.
+#: With a number, stands in for a text while its place in the output is looked for.
 PROBE = "probe"
 
 
@@ -69,19 +69,29 @@ def render_incrementally(template: Template, turns: list[Turn]) -> tuple[str, li
         if not output.startswith(before):
             rewrites = True
             break
-        places.append(place_of_text(template.render([*turns[:k], (role, PROBE)]), output, len(before)))
+        probe = absent_probe(output)
+        places.append(place_of_text(template.render([*turns[:k], (role, probe)]), output, len(before), probe))
         before = output
     if rewrites:
         before = template.render(turns)
-        places = [place_of_text(template.render([*turns[:k], (role, PROBE), *turns[k + 1 :]]), before, 0) for k, (role, _) in enumerate(turns)]
+        probe = absent_probe(before)
+        places = [place_of_text(template.render([*turns[:k], (role, probe), *turns[k + 1 :]]), before, 0, probe) for k, (role, _) in enumerate(turns)]
     return before, places, rewrites
 
 
-def place_of_text(probed: str, output: str, start: int) -> tuple[int, int] | None:
+def absent_probe(output: str) -> str:
+    """A probe that output doesn't hold; no probe ends as it begins, so none arises where one adjoins output either."""
+    k = 0
+    while f"{PROBE}{k}" in output:
+        k += 1
+    return f"{PROBE}{k}"
+
+
+def place_of_text(probed: str, output: str, start: int, probe: str) -> tuple[int, int] | None:
     """Where output holds the text in whose stead probed has the probe, from start on; None if all else isn't alike."""
-    low = probed.find(PROBE, start)
-    tail = len(probed) - low - len(PROBE)
-    if low < 0 or low + tail > len(output) or output[:low] != probed[:low] or output[len(output) - tail :] != probed[low + len(PROBE) :]:
+    low = probed.find(probe, start)
+    tail = len(probed) - low - len(probe)
+    if low < 0 or low + tail > len(output) or output[:low] != probed[:low] or output[len(output) - tail :] != probed[low + len(probe) :]:
         return None
     return low, len(output) - tail
 

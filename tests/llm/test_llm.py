@@ -569,3 +569,11 @@ def test_near_stage_equals_brute_force_jaccard(spark):
     docs = docs_of(spark, [(i, t, "x") for i, t in enumerate(texts)])
     assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == set(first)
     assert {r["doc_id"] for r in jaccard.keep_first(docs, block=3).collect()} == set(first)
+
+
+@pytest.mark.parametrize("word", ["probe", chat.PROBE, f"{chat.PROBE}0", f"{chat.PROBE} {chat.PROBE}0 {chat.PROBE}1 {chat.PROBE[:3]}"])
+def test_texts_that_hold_the_probe_keep_their_places(word):
+    turns = [("system", word), ("probe", f"x {word}"), ("assistant", f"<think>x</think>{word}"), ("assistant", f"yes {word}"), ("user", word), ("assistant", word)]
+    for template in (chat.MarkedTurns(), Forgetful()):
+        text, places, _ = chat.render_incrementally(template, turns)
+        assert all(places) and all(text[slice(*p)] in (t, t.rpartition("</think>")[2]) for p, (_, t) in zip(places, turns, strict=True))
