@@ -439,31 +439,63 @@ def test_language_model(spark):
     assert held[1] > held[0]
 
 
-def test_class_model_is_a_distribution(spark):
-    """Over all words and an unknown one of each class, next-token probabilities sum to 1."""
-    rows = spark.createDataFrame([(k, "a b a c d") for k in range(5)], "doc_id long, text string")
-    counts = classlm.word_counts(rows, F.col("text"))
-    m = classlm.fit(rows, counts, "text", 5, classes=3)
-    emitted = np.zeros(3)
-    for w, i in m.units.head.items():
-        emitted[m.of[m.units.unit[i]]] += (m.head_count[i] + 1) / 10 ** m.room[m.of[m.units.unit[i]]]
-    emitted[m.of[-1]] += (m.end_count + 1) / 10 ** m.room[m.of[-1]]
-    emitted += 10**-m.room
-    assert np.allclose(emitted, 1) and np.allclose((10**m.moves).sum(1), 1) and (m.tokens, m.distinct) == (30, 5)
+@pytest.mark.parametrize("head_words", [0, 6, 1000])
+def test_class_model_equals_brute_force(spark, head_words):
+    """Counts, transitions, classes of words outside the head and scores, from plain loops over the texts; probabilities sum to 1."""
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.choice('ab')}{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    held = [k % 5 == 0 for k in range(40)]
+    texts[0] += " never seen"
+    rows = spark.createDataFrame(list(zip(range(40), held, texts, strict=True)), "id long, held_out boolean, text string")
+    said = [t.split() for t in texts]
+    counts = Counter(w for k, ws in enumerate(said) for w in ws if not held[k])
+    sha = {w: int(np.array([xxhash.xxh64_intdigest(w.encode(), 42)], np.uint64).view(np.int64)[0]) for ws in said for w in ws}
+    head = classlm.head_of(spark.createDataFrame([(sha[w], n) for w, n in counts.items()], "h long, n long"), head_words)
+    encoded = classlm.encoded_rows(rows, head)
+    m = classlm.fit(encoded, head, held.count(False), classes=5, seeds=4)
+    rare = {r["h"]: (r["n"], r["cls"]) for r in m.rare.collect()}
+    in_head = {w: k for w in counts for k in np.flatnonzero(head.hashes == sha[w]).tolist()}
+    assert len(in_head) <= head_words and {w: rare[sha[w]][0] for w in counts if w not in in_head} == {w: n for w, n in counts.items() if w not in in_head}
+    cls = lambda w: 4 if w == "" else int(m.of[in_head[w]]) if w in in_head else rare.get(sha[w], (0, 3))[1]
+    ctx = lambda w: 4 if w == "" else int(m.of[in_head[w]]) if w in in_head else 3
+    pairs, of_ctx = np.zeros((5, 5)), defaultdict(Counter)
+    blind = np.zeros((5, 5))  # as the classes of words outside the head are chosen: they count as unknown
+    for k, ws in enumerate(said):
+        for a, b in zip(["", *ws], [*ws, ""], strict=True):
+            if not held[k]:
+                pairs[ctx(a), cls(b)] += 1
+                blind[ctx(a), ctx(b)] += 1
+                of_ctx[b][ctx(a)] += 1
+    n = Counter({"": held.count(False)}) + counts
+    room = [sum(n[w] + 1 for w in n if cls(w) == c) + (c == 3) for c in range(5)]
+    sizes = [max(1, sum(counts[w] for w in in_head if cls(w) == c)) for c in range(5)]
+    for w in counts:
+        if w not in in_head:
+            weigh = [sum(x * math.log10((blind[a, c] + 0.5) / (blind[a].sum() + 2.5) / sizes[c]) for a, x in of_ctx[w].items()) for c in range(3)]
+            assert weigh[cls(w)] >= max(weigh) - 1e-9
+    move = np.log10((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 2.5))
+    for r in classlm.scored(encoded, m).collect():
+        ws = said[r["id"]]
+        expected = sum(move[ctx(a), cls(b)] + math.log10((n[b] + 1) / room[cls(b)]) for a, b in zip(["", *ws], [*ws, ""], strict=True))
+        assert math.isclose(r["score"], expected, rel_tol=1e-9) and r["held_out"] == held[r["id"]]
+    every = sum(10 ** move[0, cls(w)] * (n[w] + 1) / room[cls(w)] for w in n) + 10 ** move[0, 3] / room[3]
+    empty = sum(10 ** move[0, c] for c in range(5) if room[c] == 0)
+    assert math.isclose(every + empty, 1)
 
 
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(1)
-    pairs = np.zeros((21, 21))
+    pairs = np.zeros((22, 22))
     for _ in range(4000):
         a = rng.integers(20)
         pairs[a, rng.integers(10) + (10 if a < 10 else 0)] += 1
-    of = classlm.exchange_clusters(pairs, 3)
-    assert len(set(of[:10])) == len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 2
+    of = classlm.exchange_clusters(pairs, 4)
+    assert len(set(of[:10])) == len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 2 and of[21] == 3
 
 
 def test_scores_odd(spark, odd, none):
-    got = classlm.score_texts(odd, F.col("doc_id") == 4).collect()
+    for words in (2, classlm.HEAD_WORDS):
+        got = classlm.score_texts(odd, F.col("doc_id") == 4, head_words=words).collect()
     assert len(got) == 8 and {r["n_tokens"] for r in got if r["id"] in (1, 2, 5)} == {1}
     assert classlm.score_texts(none, F.lit(False)).count() == 0
     assert {r["base_score"] for r in classlm.score_texts(odd.where("doc_id = 1"), F.lit(True)).collect()} == {0.0}
