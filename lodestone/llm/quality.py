@@ -17,6 +17,8 @@ FEATURES = ("words", "word_length", "distinct", "most_common", "repeated_next",
 #: Shares of the pooled covariance and of its diagonal in each class's covariance.
 POOLED, DIAGONAL = 0.3, 0.1
 THRESHOLD = 0.3
+#: Labelled rows that the model is fitted on at most, those of the least hash of their id.
+FIT_ROWS = 50_000
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -98,11 +100,13 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-np.clip(log[1] - log[0], -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant | float:
-    """The model of all labelled rows of docs that labels has; labels other than 0 and 1 don't count.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Discriminant | float:
+    """The model of at most fit_rows rows of labels and their documents; labels other than 0 and 1 don't count.
 
-    A doc with several labels counts once for each. With only one class, or
-    none, the result is a constant score: (n1 + 1) / (n0 + n1 + 2).
+    Which labels these are depends on their ids alone, through a hash, so the
+    sample is the same whatever else the table holds in what order. A document
+    with several labels counts once for each. With only one class, or none,
+    the result is a constant score: (n1 + 1) / (n0 + n1 + 2).
     """
     d = len(FEATURES)
 
@@ -110,9 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def measure(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(x) for x in texts])
 
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("labelled_id"), F.col(label_col).cast("int").alias("y"))
-    measured = docs.select(F.col(id_col).alias("measured_id"), measure(F.col(text_col).cast("string")).alias("x"))
-    paired = measured.join(known, F.col("measured_id") == F.col("labelled_id")).select("y", "x")
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("labelled_id"), F.col(label_col).cast("int").alias("y"))
+    known = known.orderBy(F.xxhash64("labelled_id"), "labelled_id", "y").limit(fit_rows)
+    rows = docs.select(F.col(id_col).alias("measured_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), F.col("measured_id") == F.col("labelled_id"))
+    paired = rows.select("y", measure("text").alias("x"))
 
     def moments(batches):
         held = np.zeros((2, 1 + d + d * d))
@@ -149,7 +154,9 @@ def held_out(doc_id: Column) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with held_out, score and predicted; labels of held-out rows are not learnt from.
 
-    Every row gets a score, null and empty texts too. Repeated rows stay.
+    Every row gets a score, null and empty texts too. Repeated rows stay and
+    get equal scores; an empty table gives an empty result. Columns of docs
+    named held_out, score or predicted are replaced.
     """
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     scored = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", quality_score(F.col("text"), model))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,10 @@ NEVER = np.int64(1) << 40
 class PieceMerger:
     """Counts the pieces that a byte-fallback BPE model of the sentencepiece kind gives."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_bytes: bytes):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         pieces = {model.id_to_piece(i): model.get_score(i) for i in plain}
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
@@ -154,16 +155,20 @@ def pre_tokens(text: str | None) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def merger(model_file: str) -> PieceMerger:
-    return PieceMerger(model_file)
+def merger(model_bytes: bytes) -> PieceMerger:
+    return PieceMerger(model_bytes)
 
 
 def token_count(text: Column, model_file: str) -> Column:
-    """Tokens of each text, as the library counts them without begin, end or added tokens."""
+    """Tokens of each text, as the library counts them without begin, end or added tokens.
+
+    The model file is read here, by the driver, and goes to tasks as bytes.
+    """
+    model = Path(model_file).read_bytes()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(merger(model_file).count(texts.tolist()), dtype="int64")
+        return pd.Series(merger(model).count(texts.tolist()), dtype="int64")
 
     return count(text)
 

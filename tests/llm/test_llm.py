@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -131,7 +132,7 @@ def test_token_counts_equal_the_library():
     import sentencepiece
 
     path = tokenizers.path("piece_bpe_32k.model")
-    library, own = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.merger(path)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.merger(Path(path).read_bytes())
     rng = random.Random(1)
     alphabet = " ▁ \n\t aaabcdeétheing<s>0123\x00你好ﬁ☃🙂    ...,,,-----====____"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
@@ -140,6 +141,17 @@ def test_token_counts_equal_the_library():
     assert own.count(texts) == [len(library.encode(t or "")) for t in texts]
 
 
+@needs_data
+def test_token_counts_of_documents(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in queries.QUERIES["op2_token_counts"](spark, SF).collect()}
+    assert got == {i: (len(t.encode()), len(library.encode(t))) for i, t in texts.items()}
+
+
 def test_token_count_odd(spark, odd, none):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("piece_bpe_32k.model")
@@ -528,6 +540,25 @@ def test_discriminant_equals_densities():
     assert np.allclose(m.score(at), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def test_fit_equals_moments_of_its_rows(spark):
+    """The model of a bounded sample has the means and shrunk covariances of just those rows."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["word", "Other", "x", "9", "--"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, quality int")
+    ids = [r[0] for r in labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(24).collect()]
+    m = quality.fit(docs, labels, fit_rows=24)
+    x = {i: np.array(quality.statistics(texts[i])) for i in ids}
+    for k in (0, 1):
+        own = np.array([x[i] for i in ids if i % 2 == k])
+        assert np.allclose(m.mean[k], own.mean(0)) and math.isclose(m.log_prior[k], math.log(len(own) / 24))
+        both = [np.cov(np.array([x[i] for i in ids if i % 2 == c]).T, bias=True) for c in (0, 1)]
+        n = [sum(i % 2 == c for i in ids) for c in (0, 1)]
+        common = (n[0] * both[0] + n[1] * both[1]) / 24
+        shrunk = 0.6 * both[k] + 0.3 * common + 0.1 * np.diag(np.diag(common) + 1e-3) + 1e-6 * np.eye(15)
+        assert np.allclose(m.factor[k] @ shrunk @ m.factor[k].T, np.eye(15), atol=1e-6)
+
+
 def test_quality_odd(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score_quality(odd, empty).collect()} == {0.5}
