@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import heapq
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import cut_lineage, fresh, table, written
 
 #: Shortest tile in words, and the covered share of an item's words from which a document counts as contaminated.
 MIN_MATCH, COVERAGE = 5, 0.5
-#: Characters of benchmark text that are sent to tasks at once; more items go in further blocks.
-BLOCK_CHARS = 16_000_000
+#: Logarithm of the bits in the map of seeds that tasks get, whatever the benchmark's size.
+MAP_BITS = 26
+#: Bytes of documents' candidate items up to which they are broadcast; beyond, they are joined by a shuffle.
+SMALL = 32_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(r"\w+")
 
 
@@ -26,6 +28,16 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+class WordHashes(dict):
+    """The XXH64 of each word asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 def karp_rabin(ids: np.ndarray, width: int) -> np.ndarray:
     """The polynomial hash, modulo 2**64, of each window of width ids."""
     n = len(ids) - width + 1
@@ -35,152 +47,204 @@ def karp_rabin(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tile(matches: list[tuple[int, int]], width: int, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item position, document position, length) of two token strings.
+class Rolling:
+    """Hashes of windows of any width over one sequence of numbers, and which of its places are unmarked."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE, np.uint64)]), dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(ids.astype(np.uint64) * power[:n], dtype=np.uint64)])
+        self.marked = np.zeros(n, bool)
+
+    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+        return (self.sums[places + width] - self.sums[places]) * self.back[places]
+
+    def free(self) -> np.ndarray:
+        """For each place the unmarked places from there on."""
+        n = len(self.marked)
+        stops = np.append(np.flatnonzero(self.marked), n)
+        return stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
 
-    matches are the places (item, document) where windows of width tokens are
-    equal. The longest match of unmarked tokens is marked again and again,
-    the first in the item and then in the document among equals, until none
-    of at least least tokens is left.
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item place, document place, length) of two sequences of numbers.
+
+    The longest match of unmarked places is marked again and again, the first
+    in the item and then in the document among equals, until none of at least
+    least places is left. The greatest length that still has a match is found
+    by bisection over Karp-Rabin hashes of windows; no pairs of places are
+    held, so repetitive sequences need memory for their own lengths only.
     """
-    heap, run = [], None
-    for diagonal, item in sorted((d - i, i) for i, d in matches):
-        if run and run[0] == diagonal and item == run[1] + run[2]:
-            run[2] += 1
-        else:
-            if run:
-                heap.append((-(run[2] + width - 1), run[1], run[1] + run[0]))
-            run = [diagonal, item, 1]
-    if run:
-        heap.append((-(run[2] + width - 1), run[1], run[1] + run[0]))
-    heapq.heapify(heap)
-    in_item: set[int] = set()
-    in_doc: set[int] = set()
-    tiles = []
-    while heap:
-        size, item, doc = heapq.heappop(heap)
-        free = [item + k not in in_item and doc + k not in in_doc for k in range(-size)]
-        if all(free):
-            in_item.update(range(item, item - size))
-            in_doc.update(range(doc, doc - size))
-            tiles.append((item, doc, -size))
-            continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, item + start, doc + start))
-                start = None
+    if min(len(item), len(doc)) < least:
+        return []
+    mine, other = Rolling(item), Rolling(doc)
+    starts = np.arange(len(item) - least + 1)
+    places = np.arange(len(doc) - least + 1)
+    places = places[np.isin(other.at(places, least), mine.at(starts, least))]
+    tiles, high = [], min(len(item), len(doc))
+    while high >= least and len(places):
+        free_i, free_d = mine.free(), other.free()
+        starts, places = starts[free_i[starts] >= least], places[free_d[places] >= least]
+
+        def common(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Places of windows that occur on both sides, with their hashes."""
+            i, d = starts[free_i[starts] >= width], places[free_d[places] >= width]  # noqa: B023
+            a, b = mine.at(i, width), other.at(d, width)
+            kept_a, kept_b = np.isin(a, b), np.isin(b, a)
+            return i[kept_a], a[kept_a], d[kept_b], b[kept_b]
+
+        low, up = least - 1, high
+        while low < up:
+            middle = (low + up + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                up = middle - 1
+        if low < least:
+            break
+        i, a, d, b = common(low)
+        order = np.argsort(b, kind="stable")
+        d, b = d[order], b[order]
+        first, last = np.searchsorted(b, a).tolist(), np.searchsorted(b, a, "right").tolist()
+        passed: dict[int, int] = {}
+        for k, place in enumerate(i.tolist()):
+            if mine.marked[place] or mine.marked[place + low - 1]:
+                continue
+            at = passed.get(first[k], first[k])
+            while at < last[k] and (other.marked[d[at]] or other.marked[d[at] + low - 1]):
+                at += 1
+            passed[first[k]] = at
+            while at < last[k]:
+                to = int(d[at])
+                if not (other.marked[to] or other.marked[to + low - 1]) and np.array_equal(item[place : place + low], doc[to : to + low]):
+                    mine.marked[place : place + low] = True
+                    other.marked[to : to + low] = True
+                    tiles.append((place, to, low))
+                    break
+                at += 1
+        high = low - 1
     return tiles
 
 
-@dataclass
-class Benchmark:
-    """One block of items, with the seeds that documents are joined on."""
-
-    names: list
-    words: dict[str, int]
-    items: list[np.ndarray]
-    widths: list[int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-    @classmethod
-    def of(cls, rows: list[tuple], min_match: int) -> Benchmark:
-        """Items of fewer than min_match words are seeds as a whole; items without words match nothing."""
-        words: dict[str, int] = {}
-        items = [np.array([words.setdefault(w, len(words) + 1) for w in tokens(text)], np.int64) for _, text in rows]
-        widths = [min(min_match, len(x)) for x in items]
-        seeds = {}
-        for width in sorted(set(widths) - {0}):
-            hashes, of, at = [], [], []
-            for k, x in enumerate(items):
-                if widths[k] == width:
-                    h = karp_rabin(x, width)
-                    hashes.append(h)
-                    of.append(np.full(len(h), k))
-                    at.append(np.arange(len(h)))
-            h = np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            seeds[width] = (h[order], np.concatenate(of)[order], np.concatenate(at)[order])
-        return cls([r[0] for r in rows], words, items, widths, seeds)
-
-    def hits(self, text: str | None, coverage: float) -> list[tuple[int, int, int, int]]:
-        """(item, its tokens, tokens covered by tiles, tiles) of the items that a text covers enough of."""
-        said = tokens(text)
-        if not said or not self.seeds:
-            return []
-        get = self.words.get
-        ids = np.fromiter((get(w, 0) for w in said), np.int64, len(said))
-        matches: dict[int, list[tuple[int, int]]] = {}
-        for width, (hashes, of, at) in self.seeds.items():
-            places = np.flatnonzero(np.convolve(ids == 0, np.ones(width, np.int64), "valid") == 0) if len(ids) >= width else np.zeros(0, np.int64)
-            if not len(places):
-                continue
-            h = karp_rabin(ids, width)[places]
-            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
-            for d, a, b in zip(places[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for k, i in zip(of[a:b].tolist(), at[a:b].tolist(), strict=True):
-                    if np.array_equal(self.items[k][i : i + width], ids[d : d + width]):
-                        matches.setdefault(k, []).append((i, d))
-        found = []
-        for k in sorted(matches):
-            need = len(self.items[k])
-            if len({i for i, _ in matches[k]}) + (self.widths[k] - 1) * len(matches[k]) < coverage * need:
-                continue
-            tiles = tile(matches[k], self.widths[k], self.widths[k])
-            covered = sum(t[2] for t in tiles)
-            if covered >= coverage * need:
-                found.append((k, need, covered, len(tiles)))
-        return found
+def leaks_of(text: str | None, items: list, least: int, coverage: float) -> list[dict]:
+    """Those of items (item, text) that a text covers enough of."""
+    said, numbers = tokens(text), {}
+    doc = np.array([numbers.setdefault(w, len(numbers)) for w in said], np.int64)
+    found = []
+    for item in items:
+        own = np.array([numbers.setdefault(w, len(numbers)) for w in tokens(item["text"])], np.int64)
+        tiles = tile(own, doc, least)
+        covered = sum(t[2] for t in tiles)
+        if tiles and covered >= coverage * len(own):
+            found.append({"item": item["item"], "item_tokens": len(own), "covered_tokens": covered, "tiles": len(tiles)})
+    return found
 
 
-def benchmark_blocks(items: DataFrame, min_match: int = MIN_MATCH, block_chars: int = BLOCK_CHARS):
-    """The benchmark as blocks of about block_chars characters each, dealt by a hash of the item."""
-    known = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    for b in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield Benchmark.of([tuple(r) for r in rows], min_match)
+def seed_rows(items: DataFrame, least: int) -> DataFrame:
+    """(item, h, place, n): every window of least words of every item (item, text), n its number of words."""
 
+    def seeds(batches):
+        known = WordHashes()
+        for part in batches:
+            for item, text in zip(part["item"], part["text"], strict=True):
+                said = tokens(text)
+                h = karp_rabin(np.fromiter(map(known.__getitem__, said), np.uint64, len(said)), least).view(np.int64)
+                yield pd.DataFrame({"item": item, "h": h, "place": np.arange(len(h)), "n": len(said)})
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    return items.select("item", "text").mapInPandas(seeds, "item long, h long, place long, n long")
+
+
+def seed_map(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2**bits bits in which the highest bits of each seed's hash are set."""
+    at = F.shiftrightunsigned("h", 64 - bits)
+    words = seeds.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return out.view(np.uint64)
+
+
+def candidates(rows: DataFrame, seeds: DataFrame, least: int, coverage: float, bits: int) -> DataFrame:
+    """(id, twin, items) for the rows (id, twin, text) that share enough seeds with an item to cover enough of it.
+
+    Texts are read once, whatever the benchmark's size: each gives its
+    distinct seeds that the map of bounded size does not rule out, and these
+    meet the benchmark's seeds in a join.
+    """
+    kind = dict(rows.dtypes)["id"]
+    held = seed_map(seeds, bits)
+    shift, low = np.uint64(64 - bits), np.uint64(63)
+
+    def emit(batches):
+        known = WordHashes()
+        for part in batches:
+            ids, twins, lists = [], [], []
+            for i, twin, text in zip(part["id"], part["twin"], part["text"], strict=True):
+                said = tokens(text)
+                if len(said) < least:
+                    continue
+                h = karp_rabin(np.fromiter(map(known.__getitem__, said), np.uint64, len(said)), least)
+                at = h >> shift
+                h = h[(held[at >> np.uint64(6)] >> (at & low)) & np.uint64(1) == 1]
+                if len(h):
+                    ids.append(i)
+                    twins.append(twin)
+                    lists.append(np.unique(h.view(np.int64)))
+            made = pd.DataFrame({"twin": pd.Series(twins, dtype="int64"), "hs": pd.Series(lists, dtype="object")})
+            made.insert(0, "id", pd.Series(ids, dtype=part["id"].dtype))
+            yield made
+
+    met = rows.mapInPandas(emit, f"id {kind}, twin long, hs array<long>").select("id", "twin", F.explode("hs").alias("h")).distinct().join(seeds, "h")
+    places = met.groupBy("id", "twin", "item", "n").agg(F.sort_array(F.collect_set("place")).alias("p"))
+    most = F.aggregate(F.transform("p", lambda x, k: F.when(k == 0, least).otherwise(F.least(F.lit(least), x - F.get("p", k - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return places.where(most >= coverage * F.col("n")).groupBy("id", "twin").agg(F.collect_set("item").alias("items"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, least: int, coverage: float, bits: int) -> DataFrame:
+    """(id, twin, hits, item rows) for each row of docs that covers enough of an item; twin is a hash of its text."""
+    numbered = written(items.where("text is not null").select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").cast("string").alias("text")))
+    text = F.col(text_col).cast("string")
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"))
+    found = candidates(rows, written(seed_rows(numbered, least)), least, coverage, bits)
+    asked = found.select(F.col("id").alias("of"), F.col("twin").alias("of_twin"), F.explode("items").alias("item")).join(numbered, "item")
+    asked = cut_lineage(asked.groupBy("of", "of_twin").agg(F.collect_list(F.struct("item", "text")).alias("items")))
+    size = asked.agg(F.sum(F.expr("32 + aggregate(items, 0L, (a, x) -> a + 16 + octet_length(x.text))"))).first()[0] or 0
+
+    @F.pandas_udf("array<struct<item:long,item_tokens:long,covered_tokens:long,tiles:long>>")
+    def search(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([leaks_of(t, x, least, coverage) for t, x in zip(texts, lists, strict=True)], dtype="object")
+
+    asked = F.broadcast(asked) if size <= SMALL else asked
+    met = rows.join(asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")))
+    hits = met.select("id", "twin", F.explode(search("text", "items")).alias("hit")).select("id", "twin", "hit.*")
+    return hits.join(numbered.select("item", "item_id"), "item")
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, map_bits: int = MAP_BITS) -> DataFrame:
     """(id, item_id, item_tokens, covered_tokens, tiles): each document and item it covers enough of.
 
     Tiles don't overlap, in the item or in the document, so reordered parts
-    of an item count together. Null and empty texts cover nothing. Repeated
-    documents give repeated rows, repeated items rows for each.
+    of an item count together. Items of fewer than min_match words have no
+    tile and match nothing, nor do null and empty texts on either side.
+    Repeated documents give repeated rows, repeated items rows for each; ids
+    may be null or shared by different texts. Empty tables give an empty
+    result; other columns of docs and items are not read.
     """
-    kinds = dict(docs.dtypes)[id_col], dict(items.dtypes)["item_id"]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {kinds[0]}, item_id {kinds[1]}, item_tokens long, covered_tokens long, tiles long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in benchmark_blocks(items, min_match, block_chars):
-
-        def search(batches, block=block):
-            for part in batches:
-                made = [(i, block.names[k], need, got, n) for i, text in zip(part["id"], part["text"], strict=True) for k, need, got, n in block.hits(text, coverage)]
-                yield pd.DataFrame(made, columns=["id", "item_id", "item_tokens", "covered_tokens", "tiles"])
-
-        out = out.union(rows.mapInPandas(search, schema))
-    return out
-
+    return leaks(docs, items, id_col, text_col, min_match, coverage, map_bits).select("id", "item_id", "item_tokens", "covered_tokens", "tiles")
 
-def is_clean(text: Column, block: Benchmark, coverage: float) -> Column:
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not block.hits(x, coverage) for x in texts], dtype="bool")
 
-    return clean(text)
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, map_bits: int = MAP_BITS) -> DataFrame:
+    """The rows of docs that cover enough of no item, with all their columns.
 
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that cover enough of no item."""
-    for block in benchmark_blocks(items, min_match, block_chars):
-        docs = docs.where(is_clean(F.col(text_col).cast("string"), block, coverage))
-    return docs
+    Rows are told apart by id and text, so a clean text stays where another
+    one of the same id goes, and repeated rows go or stay together. Null and
+    empty texts stay.
+    """
+    own, gone, gone_twin = fresh(docs.columns, "twin", "gone", "gone_twin")
+    bad = cut_lineage(leaks(docs, items, id_col, text_col, min_match, coverage, map_bits).select(F.col("id").alias(gone), F.col("twin").alias(gone_twin)).distinct())
+    bad = F.broadcast(bad) if bad.count() * 64 <= SMALL else bad
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    return rows.join(bad, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(gone_twin)), "left_anti").drop(own)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

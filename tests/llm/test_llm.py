@@ -395,11 +395,29 @@ def plain_tiles(item, doc, least):
 
 def test_tiles_equal_brute_force():
     rng = random.Random(7)
-    for _ in range(60):
-        item, doc = [rng.choice("abc") for _ in range(rng.randint(3, 25))], [rng.choice("abc") for _ in range(rng.randint(3, 40))]
-        width = 3
-        matches = [(i, d) for i in range(len(item) - width + 1) for d in range(len(doc) - width + 1) if item[i : i + width] == doc[d : d + width]]
-        assert decontaminate.tile(matches, width, width) == plain_tiles(item, doc, width)
+    for k in range(150):
+        item, doc = [rng.choice("abc"[: 1 + k % 3]) for _ in range(rng.randint(0, 25))], [rng.choice("abc"[: 1 + k % 3]) for _ in range(rng.randint(0, 40))]
+        numbers = [np.array([ord(c) for c in x], np.int64) for x in (item, doc)]
+        assert decontaminate.tile(*numbers, 3) == plain_tiles(item, doc, 3)
+
+
+def test_repetitive_texts_take_seconds():
+    from time import process_time
+
+    began = process_time()
+    assert decontaminate.tile(np.zeros(300, np.int64), np.zeros(1_000_000, np.int64), 5) == [(0, 0, 300)]
+    two = np.arange(1_000_000) % 2
+    assert decontaminate.tile(np.arange(301) % 2, two, 5) == [(0, 0, 301)]
+    assert process_time() - began < 20
+
+
+def test_short_items_mark_nothing(spark, odd, none):
+    items = spark.createDataFrame([(1, "yes"), (2, "a b c"), (3, "w1 w2 w3 w4 w5 w6"), (3, "w1 w2 w3 w4 w5 w6"), (None, "other text here but longer than that")], "item_id long, text string")
+    got = sorted((r["id"], r["item_id"], r["covered_tokens"]) for r in decontaminate.contamination(odd, items).collect())
+    assert got == [(3, 3, 6)] * 4 + [(4, 3, 6)] * 2
+    kept = decontaminate.drop_contaminated(odd, items)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "a b c"), (1, ""), (2, ""), (4, "other text here"), (5, " \n\t")]
+    assert decontaminate.drop_contaminated(none, items).count() == 0 and decontaminate.drop_contaminated(odd, items.limit(0)).count() == 8
 
 
 def test_reordered_passages(spark):
@@ -409,8 +427,8 @@ def test_reordered_passages(spark):
     texts = {1: f"start {item} end", 2: " ".join(words[30:] + ["x"] + words[:30]).upper(), 3: " ".join(words[:20]) + " nothing", 4: None, 5: " ".join(reversed(words)), 6: ""}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     items = spark.createDataFrame([(9, item), (10, None), (11, ""), (12, "tiny one")], "item_id long, text string")
-    for size in (16_000_000, 300):
-        got = decontaminate.contamination(docs, items, block_chars=size)
+    for bits in (26, 7):
+        got = decontaminate.contamination(docs, items, map_bits=bits)
         assert sorted((r["id"], r["item_id"], r["covered_tokens"], r["tiles"]) for r in got.collect()) == [(1, 9, 60, 1), (2, 9, 60, 2)]
     assert sorted(r[0] for r in decontaminate.drop_contaminated(docs, items).select("doc_id").collect()) == [3, 4, 5, 6]
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), items).count() == 0
