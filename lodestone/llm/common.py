@@ -64,20 +64,16 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_words(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if text else []
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node reachable.
 
     Large-star and small-star steps alternate until the edges form stars. A
     hub's neighbours meet only in a partial minimum and in a join that can be
     split, so one component may hold any share of the nodes. Each round is
-    checkpointed. Empty edges give no rows; loops give a node of its own.
+    checkpointed. Nodes are numbers of any one type. Empty edges give no rows;
+    loops give a node of its own.
     """
-    spread = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
+    spread = edges.select("a", "b").where("a is not null and b is not null")
     loops = spread.where("a = b").select("a").distinct()
     now = cut_lineage(spread.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import FOLD, connected_components, cut_lineage, fresh, table
 
 SEED = 42
-#: Members of a posting list that one task compares directly; longer lists go by variants.
-LIST_LIMIT = 1024
+#: Members of a posting list that meet the same number of others in one comparison.
+BLOCK = 1024
+#: Byte positions in the key of a posting list, at most.
+KEY_BYTES = 4
 
 
 def simhash(text: str | None, width: int = 4) -> int:
@@ -45,7 +47,7 @@ def covering(matches: int, width: int) -> list[tuple[int, ...]]:
     """Sets of width byte positions such that any matches of the 8 positions hold one whole set.
 
     Found greedily: the set that serves most of what is still unserved comes
-    next. For 3 of 4 matches at least 20 sets are needed.
+    next.
     """
     left = set(combinations(range(8), matches))
     chosen: list[tuple[int, ...]] = []
@@ -56,11 +58,12 @@ def covering(matches: int, width: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def linked_within(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that span the groups of one posting list: tally equal bytes, filter, verify."""
+def linked_within(members: np.ndarray, sides: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links that span the groups of two blocks of a posting list (or of one): tally equal bytes, filter, verify."""
     n = len(members)
     signed = members.astype(np.int64)
     octets = signed.view(np.uint8).reshape(n, 8)
+    across = len(np.unique(sides)) > 1
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -72,7 +75,7 @@ def linked_within(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     links = []
     for i in range(n - 1):
         tally = (octets[i + 1 :] == octets[i]).sum(1)
-        near = np.flatnonzero(tally >= 8 - max_bits) + i + 1
+        near = np.flatnonzero((tally >= 8 - max_bits) & ((sides[i + 1 :] != sides[i]) | (not across))) + i + 1
         if len(near):
             near = near[np.bitwise_count(signed[near].view(np.uint64) ^ signed[i : i + 1].view(np.uint64)) <= max_bits]
         for j in near.tolist():
@@ -83,21 +86,20 @@ def linked_within(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(prints: DataFrame, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Links (a, b) that connect all fingerprints fp of at most max_bits (0, 2 or 4) differing bits.
+def near_links(prints: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all fingerprints fp of at most max_bits (1 to 7) differing bits.
 
     Fingerprints that differ in k bits agree in 8 - k of their 8 bytes at
     least. The index keeps posting lists for sets of byte positions chosen so
     that such a pair meets in one list (see covering). Within a list the equal
     bytes of each pair are tallied, pairs under the guaranteed minimum go, and
     the rest are verified; of the links only those that span a group come out.
-    A list of over list_limit members is not compared: all its fingerprints
-    are tied to each fingerprint reachable by flipping half the bits of the
-    bound, which links the same pairs in linear space.
+    A list of more than block members is dealt into blocks, each pair of which
+    is compared by one task, so memory is bounded and no pair is missed.
     """
-    if max_bits not in (0, 2, 4):
-        raise ValueError("max_bits must be 0, 2 or 4")
-    sets = covering(8 - max_bits, min(3, 8 - max_bits))
+    if not 1 <= max_bits <= 7:
+        raise ValueError("max_bits must be from 1 to 7")
+    sets = covering(8 - max_bits, min(KEY_BYTES, 8 - max_bits))
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = []
     for i, positions in enumerate(sets):
@@ -107,36 +109,29 @@ def near_links(prints: DataFrame, max_bits: int = 4, list_limit: int = LIST_LIMI
         keys.append(key)
     listed = prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut_lineage(listed.join(sizes, "key"))
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    shared = cut_lineage(listed.join(sizes.select("key", blocks.alias("blocks")), "key"))
+    dealt = shared.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
 
     @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
-    def compare(lists: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": a, "b": b} for a, b in linked_within(np.asarray(x), max_bits)] for x in lists])
+    def compare(lists: pd.Series, sides: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in linked_within(np.asarray(x), np.asarray(y), max_bits)] for x, y in zip(lists, sides, strict=True)], dtype="object")
 
-    lists = shared.where(F.col("n") <= list_limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    direct = lists.select(F.explode(compare("fps")).alias("e")).select("e.a", "e.b")
+    met = dealt.groupBy("key", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t")).agg(F.collect_list(F.struct("fp", "side")).alias("m"))
+    return met.select(F.explode(compare("m.fp", "m.side")).alias("e")).select("e.a", "e.b").distinct()
 
-    flips = [0]
-    for k in range(1, max_bits // 2 + 1):
-        flips += [sum(1 << i for i in bits) for bits in combinations(range(64), k)]
-    masks = np.array(flips, np.uint64).view(np.int64)
 
-    def vary(batches):
-        for part in batches:
-            fps = part["fp"].to_numpy()
-            for at in range(0, len(fps), 256):
-                block = fps[at : at + 256]
-                yield pd.DataFrame({"fp": np.repeat(block, len(masks)), "variant": (block[:, None] ^ masks[None, :]).ravel()})
+#: Nodes of fingerprints without any id lie beyond all ids.
+BEYOND = 2 * 10**19
 
-    crowded = shared.where(F.col("n") > list_limit).select("fp").distinct()
-    varied = crowded.mapInPandas(vary, "fp long, variant long")
-    least = varied.groupBy("variant").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    by_variant = varied.join(least, "variant").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    return direct.union(by_variant).distinct()
 
+def rooted_rows(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, twin, fp) of every row, twin being a hash of its text, and (fp, root, component_id) of every fingerprint.
 
-def rooted_rows(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, list_limit: int) -> tuple[DataFrame, DataFrame]:
-    """(id, twin, fp) of every row, twin being a hash of its text, and (fp, root, component_id) of every fingerprint."""
+    A fingerprint is named by its smallest id, so the least name in a
+    component is its component_id, and no component is gathered at one key.
+    """
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
@@ -144,14 +139,16 @@ def rooted_rows(docs: DataFrame, id_col: str, text_col: str, width: int, max_bit
 
     text = F.col(text_col).cast("string")
     prints = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("twin"), fingerprint(text).alias("fp")))
-    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(near_links(firsts, max_bits, list_limit))
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, rooted.join(lowest, "root").select("fp", "root", "component_id")
+    wide = lambda c: F.col(c).cast("decimal(21,0)")
+    names = prints.groupBy("fp").agg(F.min("id").alias("first")).select("fp", F.coalesce(wide("first"), wide("fp") + F.lit(str(BEYOND)).cast("decimal(21,0)")).cast("decimal(21,0)").alias("name"))
+    links = near_links(names.select("fp"), max_bits, block)
+    named = links.join(names.select(F.col("fp").alias("a"), F.col("name").alias("one")), "a").join(names.select(F.col("fp").alias("b"), F.col("name").alias("two")), "b")
+    roots = connected_components(named.select(F.col("one").alias("a"), F.col("two").alias("b")))
+    rooted = names.join(roots, names["name"] == roots["node"], "left").select("fp", F.coalesce("root", "name").alias("root"))
+    return prints, rooted.select("fp", "root", F.when(F.col("root") < F.lit(str(BEYOND // 2)).cast("decimal(21,0)"), F.col("root").cast("long")).alias("component_id"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """(id, fp, component_id) for every row of docs.
 
     component_id is the smallest id reachable over links, itself included; it
@@ -159,7 +156,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one node, so copies never form pairs. Repeated rows stay repeated; an
     empty table gives an empty result; other columns of docs are not read.
     """
-    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
+    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, block)
     return prints.join(groups, "fp").select("id", "fp", "component_id")
 
 
@@ -186,11 +183,12 @@ def first_of_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_co
     return rows.join(chosen, same, "left_semi").dropDuplicates([number, absent, own]).drop(number, absent, own)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One row of docs for each group of near copies: that of the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
+    """One row of docs for each group of near copies, with all its columns: that of the smallest id.
 
     Of different texts with that id the one of the least hash stays, of
-    repeated rows one. A group without any id keeps one row too.
+    repeated rows one. A group without any id keeps one row too; an empty
+    table gives an empty result.
     """
-    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, list_limit)
+    prints, groups = rooted_rows(docs, id_col, text_col, width, max_bits, block)
     return first_of_groups(docs, prints, groups, id_col, text_col)

@@ -97,16 +97,35 @@ def test_crowded_lists_lose_no_link(spark):
     prints = sorted(set(prints))
     frame = spark.createDataFrame([(p,) for p in prints], "fp long")
     expected = {p: c for p, c in zip(prints, components_of(prints, prints), strict=True)}
-    for limit in (1, 5, 1024):
-        roots = {r["node"]: r["root"] for r in connected_components(simhash.near_links(frame, 4, limit)).collect()}
+    for block in (1, 5, 1024):
+        roots = {r["node"]: r["root"] for r in connected_components(simhash.near_links(frame, 4, block)).collect()}
         assert {p: roots.get(p, p) for p in prints} == expected
 
 
-def test_covering_serves_all():
+@pytest.mark.parametrize(("matches", "width"), [(4, 4), (4, 3), (6, 4), (1, 1)])
+def test_covering_serves_all(matches, width):
     from itertools import combinations
 
-    sets = simhash.covering(4, 3)
-    assert all(any(set(s) <= set(x) for s in sets) for x in combinations(range(8), 4))
+    sets = simhash.covering(matches, width)
+    assert all(any(set(s) <= set(x) for s in sets) for x in combinations(range(8), matches))
+
+
+@pytest.mark.parametrize("size", [2, 7, 8, 9, 17])
+def test_lists_around_a_block(spark, size):
+    """All fingerprints agree in four bytes, in lists just under, at and over the block's size."""
+    rng = random.Random(size)
+    prints = sorted({0x0102030400000000 | sum(1 << rng.randrange(32) for _ in range(rng.randint(0, 3))) for _ in range(4 * size)})[:size]
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.near_links(frame, 4, 8)).collect()}
+    assert {p: roots.get(p, p) for p in prints} == dict(zip(prints, components_of(prints, prints), strict=True))
+
+
+def test_groups_without_ids(spark):
+    """Near copies some or all of which have no id; ids at the ends of their range."""
+    rows = docs_of(spark, [(None, "a b c", "x"), (None, "a b c", "x"), (2**63 - 1, "d e f", "x"), (None, "d e f", "x"), (-(2**63), "g h", "x")])
+    got = sorted(((r["id"], r["component_id"]) for r in simhash.near_groups(rows).collect()), key=str)
+    assert got == sorted([(None, None), (None, None), (2**63 - 1, 2**63 - 1), (None, 2**63 - 1), (-(2**63), -(2**63))], key=str)
+    assert simhash.keep_first(rows).count() == 3
 
 
 def test_components_of_a_chain_and_loops(spark):
