@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 from math import log
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
+from lodestone.llm.labelledpages import PAGES
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,261 +22,302 @@ SILENT = frozenset("head title script style noscript template iframe object svg
 RAW = frozenset("script style textarea title noscript iframe template".split())
 MAIN = frozenset(("article", "main"))
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|aria-label|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))?")
+_END = re.compile(r"[\s/]*(>|\Z)")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    features: tuple[str, ...] = ()
-    words: int = 0
-    noise: bool | None = None
-    spared: bool = False
-
+    """An element of a page: its features, and once weighed whether its words are noise and lie in the marked article."""
 
-@dataclass
-class Page:
-    """What a scan of a page sees: text pieces and tags in page order, each with its element."""
+    __slots__ = ("name", "parent", "features", "noise", "inside", "words")
 
-    pieces: list[tuple[Element, str | None, str]] = field(default_factory=list)  # element, text or None, tag
+    def __init__(self, name: str, parent: Element | None, features: tuple[str, ...] = ()):
+        self.name, self.parent, self.features = name, parent, features
+        self.noise = self.inside = False
+        self.words = 0
 
 
 @lru_cache(maxsize=4096)
-def features_of(name: str, attributes: str) -> tuple[str, ...]:
+def features_of(name: str, attributes: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
     """The element's name and the parts of words in its class, id, role and label; html and body have none."""
     if name in ("html", "body"):
         return ()
     found = [name]
-    for key, value in _ATTR.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
+    for key, value in attributes:
         if key in ("class", "id", "role", "aria-label"):
             found += ["." + p.lower() for p in _PART.findall(value)]
-        elif (key == "hidden" and value.lower() != "until-found") or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        elif (key == "hidden" and value.lower() != "until-found") or (key == "aria-hidden" and value == "true") or (key == "style" and _UNSEEN.search(value)):
             found.append("(hidden)")
     return tuple(dict.fromkeys(found))
 
 
-def read_page(html: str) -> Page:
-    """Text and tags of a page; unclosed elements end with the element around them."""
-    page, at, n = Page(), 0, len(html)
+_TOLD = frozenset(("class", "id", "role", "aria-label", "hidden", "aria-hidden", "style"))
+
+
+def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None, str]]]:
+    """The elements of a page, parents first, and its text pieces and tags in page order: (element, text or None, tag).
+
+    Attributes go by the rules of HTML: a quote opens a value only where the
+    value begins. End tags without a start tag change nothing; unclosed
+    elements end with the element around them. Time and memory grow with the
+    length of the page, however deep it is nested.
+    """
     top = here = Element("", None)
+    elements, pieces = [top], []
+    opened: dict[str, int] = {}
+    at, n = 0, len(html)
 
     def text(a: int, b: int) -> None:
         if b > a:
-            page.pieces.append((here, html[a:b], ""))
+            pieces.append((here, html[a:b], ""))
 
+    def close(name: str) -> None:
+        nonlocal here
+        while here.name != name:
+            opened[here.name] -= 1
+            here = here.parent
+        opened[name] -= 1
+        here = here.parent
+
+    begun = 0  # where the text not yet taken begins
     while at < n:
-        m = _TAG.search(html, at)
-        if not m:
-            text(at, n)
+        at = html.find("<", at)
+        if at < 0:
             break
-        text(at, m.start())
-        at = m.end()
-        name = m[2]
-        if name is None:
+        kind = html[at + 1 : at + 2]
+        if not (kind.isalpha() and kind.isascii()) and kind not in ("/", "!", "?"):
+            at += 1
             continue
-        name = name.lower()
-        if m[1]:
-            probe: Element | None = here
-            while probe is not None and probe.name != name:
-                probe = probe.parent
-            page.pieces.append((here, None, "/" + name))
-            if probe is not None and probe is not top:
-                here = probe.parent
+        if kind == "/" and not _NAME.match(html, at + 2):
+            at += 1
+            continue
+        text(begun, at)
+        if kind in ("!", "?"):
+            ending = "-->" if html.startswith("<!--", at) else "]]>" if html.startswith("<![CDATA[", at) else ">"
+            stop = html.find(ending, at + (4 if ending == "-->" else 2))
+            begun = at = n if stop < 0 else stop + len(ending)
+            continue
+        if kind == "/":
+            name = _NAME.match(html, at + 2)[0].lower()
+            stop = html.find(">", at)
+            begun = at = n if stop < 0 else stop + 1
+            pieces.append((here, None, "/" + name))
+            if opened.get(name):
+                close(name)
             continue
+        named = _NAME.match(html, at + 1)
+        name, at = named[0].lower(), named.end()
+        told = []
+        while not (ended := _END.match(html, at)):
+            attribute = _ATTR.match(html, at)
+            key, at = attribute[1].lower(), attribute.end()
+            if key in _TOLD:
+                value = attribute[2] or ""
+                told.append((key, unescape(value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value)))
+        closed = html.startswith("/", ended.end() - 2)
+        begun = at = ended.end()
         for other in SELF_CLOSING.get(name, ()):
             if here.name == other:
-                here = here.parent
+                close(other)
         if name in VOID:
-            page.pieces.append((here, None, name))
+            pieces.append((here, None, name))
             continue
-        inside = Element(name, here, features_of(name, m[3]))
-        page.pieces.append((inside, None, name))
-        if m[3].rstrip().endswith("/") and name in ("svg", "path", "iframe"):
+        inside = Element(name, here, features_of(name, tuple(told)))
+        elements.append(inside)
+        pieces.append((inside, None, name))
+        if closed and name in ("svg", "path", "iframe"):
             continue
         here = inside
+        opened[name] = opened.get(name, 0) + 1
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            end = close.start() if close else n
-            text(at, end)
-            at = close.end() if close else n
-            here = inside.parent
-    return page
+            raw_end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            text(at, raw_end.start() if raw_end else n)
+            begun = at = raw_end.end() if raw_end else n
+            close(name)
+    text(begun, n)
+    return elements, pieces
 
 
 # --- weights ---------------------------------------------------------------
 
-#: Labelled pages are made from these: elements that hold no text of the article, and elements that do.
-NOISE_EXAMPLES = """
-nav | header | footer | aside | form | menu | dialog | fieldset | script | style
-div.ad | div.ads | div.advert | div.advertisement | div.adsbox | div.sponsor | div.sponsored | div.promo | div.promotion | div.banner
-div.menu | ul.nav | div.navigation | div.navbar | div.breadcrumb | div.breadcrumbs | div.topbar | div.toolbar | div.masthead
-div.sidebar | div.side | div.widget | div.related | div.recommended | div.trending | div.teaser | div.footer | div.header | div.bottom
-div.comments | div.comment | section.comments | ol.commentlist | div.replies | div.reply | div.disqus | div.respond | div.discussion
-div.notice | div.cookie | div.cookies | div.consent | div.gdpr | div.alert | div.warning | div.popup | div.modal | div.overlay | div.disclaimer
-div.newsletter | div.subscribe | div.subscription | div.signup | div.login | div.search | div.form
-div.share | div.sharing | div.social | div.pagination | div.pager | div.copyright | div.legal | div.skip | div.outbrain | div.taboola
-""".replace("\n", "|")
-CONTENT_EXAMPLES = "article | main | section | div | p | div.content | div.article | div.post | div.entry | div.story | div.body | div.text | div.main | h1 | h2 | h3 | blockquote | ul | ol | table | pre | figure | figcaption | dl | address"
-#: Log odds under which an element holds no text of an article.
-NEVER = -3.0
-#: Weight of a tag inside the element that a page marks as its article.
-MARKED_TAG = -0.01
-WORDS = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam"
-
-
-def labelled_pages() -> list[tuple[list[tuple[str, bool]], str]]:
-    """Pages as pieces of HTML, each labelled as content or not."""
-
-    def element(kind: str, inner: str) -> str:
-        name, _, cls = kind.strip().partition(".")
-        return f'<{name}{f" class={cls!r}" if cls else ""}>{inner}</{name}>'
-
-    def content_of(kind: str) -> str:
-        said = f"{WORDS} {WORDS}, <a>sit</a> <b>amet</b>."
-        items = {"ul": "li", "ol": "li", "table": "td", "dl": "dd", "figure": "figcaption"}.get(kind.strip())
-        if not items:
-            return element(kind, said)
-        inner = f"<{items}>{said}</{items}>" * 2
-        return element(kind, f"<thead><tr><th>{WORDS}</th></tr></thead><tbody><tr>{inner}</tr></tbody>" if items == "td" else f"<dt>{WORDS}</dt>{inner}" if items == "dd" else inner)
-
-    noise = [x for x in NOISE_EXAMPLES.split("|") if x.strip()]
-    content = [x for x in CONTENT_EXAMPLES.split("|") if x.strip()]
-    pages = []
-    for i, kind in enumerate(noise):
-        links = "".join(f'<a href="/{w}">{w}</a> ' for w in WORDS.split())
-        body = [(content_of(content[(i + k) % len(content)]), True) for k in range(4)]
-        body.insert(2, (element(kind, f"<p>{WORDS}</p>"), False))
-        pages.append([(element(kind, f"<ul><li>{links}</ul>"), False), *[(f"<p>{WORDS}</p>", True)] * 3, *body, (element(kind, WORDS), False), (f"<div>{links}</div>", False)])
-    return pages
+#: Mean log odds of an element's features under which its words are noise.
+NOISE = -1.0
+#: Features whose log odds are this near to none say nothing.
+NEUTRAL = 0.5
+#: The score of a tag is never above this.
+LEAST = -0.02
 
 
 @dataclass
 class Weights:
-    odds: dict[str, float]  # log odds of the words in an element with this feature to be content
-    tag: dict[str, float]
-    word: float
-    other_tag: float
+    """What is learnt from labelled pages: log odds of a feature's elements to hold content, names that never do, and scores of words and tags."""
+
+    feature: dict[str, float]
+    never: frozenset[str]
+    token: dict[tuple[str, str], float]
+    other: dict[str, float]
+
+    def own_noise(self, e: Element, words: int) -> bool:
+        """Whether an element's features speak against its words: its name, or what its class and id say on average.
+
+        Parts of a class that are in no labelled page count as saying nothing,
+        but they count, so that a class is judged as a whole. An element whose
+        class also has such parts, or parts of content, is no noise if more
+        than half of the page's words are in it.
+        """
+        if not e.features:
+            return False
+        if e.name in SILENT or e.name in self.never or "(hidden)" in e.features:
+            return True
+        told = [self.feature.get(f) for f in e.features[1:]]
+        against = [x for x in told if x is not None and x <= -NEUTRAL]
+        unseen = sum(x is None for x in told)
+        if not against or sum(against) / (len(against) + unseen) >= NOISE:
+            return False
+        mixed = unseen or any(x >= NEUTRAL for x in told if x is not None)
+        return not (mixed and 2 * e.words > words)
+
+    def score(self, place: str, kind: str) -> float:
+        """The score of a kind of word or tag; unseen tags weigh what is learnt of them together, in a marked article least."""
+        return self.token.get((place, kind), LEAST if kind.endswith("+") else self.other[place])
+
+
+def odds(content: float, other: float) -> float:
+    return log((content + 0.25) / (other + 0.25))
+
+
+def place_of(elements: list[Element], weights: Weights) -> str:
+    """Weighs the elements of a page and says whether it marks its article ("marked") or not ("plain").
+
+    An element is noise if it is itself or lies in noise. The article is
+    marked by article elements outside noise, or by main elements. If all of
+    those lie in what looks like noise, the elements around the longest one
+    are no noise.
+    """
+    for e in reversed(elements[1:]):
+        if e.name not in SILENT:
+            e.parent.words += e.words
+    words = elements[0].words
+
+    def spread(spared: frozenset[int]) -> list[Element]:
+        for e in elements[1:]:
+            e.noise = e.parent.noise or (id(e) not in spared and weights.own_noise(e, words))
+        return [e for e in elements if e.name in MAIN and not e.noise]
+
+    marks = spread(frozenset())
+    if not marks:
+        best = max((e for e in elements if e.name in MAIN and not weights.own_noise(e, words)), key=lambda e: e.words, default=None)
+        if best is not None and best.words:
+            around, probe = [], best
+            while probe is not None:
+                if probe.name not in SILENT:
+                    around.append(id(probe))
+                probe = probe.parent
+            marks = spread(frozenset(around))
+    articles = {id(e) for e in marks if e.name == "article"} or {id(e) for e in marks}
+    for e in elements[1:]:
+        e.inside = e.parent.inside or id(e) in articles
+    return "marked" if articles else "plain"
+
+
+def kind_of(e: Element, tag: str, place: str) -> str:
+    """What the score of a word or tag goes by: its place in pages that mark their article, a tag's name, whether a word is a link."""
+    if tag:
+        return tag + "+" if e.inside else tag
+    return ("(inside)" if e.inside else "(outside)") if place == "marked" else "(linked)" if e.name == "a" else "(word)"
+
+
+def counted_words(elements: list[Element], pieces: list[tuple[Element, str | None, str]]) -> list[int]:
+    """The words of each piece, which its element gets too."""
+    sized = [len(t.split()) if t is not None else 0 for _, t, _ in pieces]
+    for (e, _, _), k in zip(pieces, sized, strict=True):
+        e.words += k
+    return sized
 
 
 @lru_cache(maxsize=1)
 def learnt() -> Weights:
-    """Weights from the labelled pages: words get the log odds of their elements' features, tags a negative weight by how rarely they lie in content."""
-    inside: dict[str, list[float]] = {}
-    tags: dict[str, list[float]] = {}
-    words = [0, 0]
-    for pieces in labelled_pages():
-        for html, is_content in pieces:
-            for element, text, tag in read_page(html).pieces:
-                if text is None:
-                    tags.setdefault(tag, [0, 0])[is_content] += 1
-                    continue
-                n = len(text.split())
-                words[is_content] += n
-                probe: Element | None = element
-                while probe is not None:
-                    for f in probe.features:
-                        inside.setdefault(f, [0, 0])[is_content] += n
-                    probe = probe.parent
-    odds = {f: log((c + 0.5) / (b + 0.5)) for f, (b, c) in inside.items()}
-    for f in SILENT:
-        odds[f] = -5.0
-    odds["(hidden)"] = -5.0
-    whole = [sum(t[k] for t in tags.values()) for k in (0, 1)]
-    weight = {t: min(-0.02, 0.3 * log(((c + 0.5) / whole[1]) / ((b + 0.5) / whole[0])) - 0.02) for t, (b, c) in tags.items()}
-    for edge in MAIN:  # what follows or precedes the article is another one
-        weight[edge] = weight["/" + edge] = -8.0
-    return Weights(odds, weight, log(words[1] / words[0]), -0.02)
-
-
-def own_noise(element: Element, odds: dict[str, float]) -> bool:
-    return any(odds.get(f, 0.0) < NEVER for f in element.features)
-
-
-def is_noise(element: Element, odds: dict[str, float]) -> bool:
-    if element.noise is None:
-        above = element.parent is not None and is_noise(element.parent, odds)
-        element.noise = above or (not element.spared and own_noise(element, odds))
-    return element.noise
+    """Weights from the labelled pages.
+
+    An element counts for its features by the share of its words that are
+    content. The score of a word or tag is the log of how much more often its
+    kind occurs in content than elsewhere, for pages with and without an
+    element that marks the article; a tag's is never above LEAST.
+    """
+    weights = Weights({}, frozenset(), {}, {})
+    read = []
+    shares: dict[str, list[float]] = {}
+    for page in PAGES:
+        elements, pieces = read_page(page.replace("{{", "<wbr>").replace("}}", "<wbr>"))
+        sized, content, labels = counted_words(elements, pieces), False, []
+        for _, _, tag in pieces:
+            content ^= tag == "wbr"
+            labels.append(content)
+        read.append((elements, pieces, sized, labels))
+        said = {id(e): [0, 0] for e in elements}
+        for (e, _, _), k, label in zip(pieces, sized, labels, strict=True):
+            said[id(e)][label] += k
+        for e in reversed(elements[1:]):
+            for k in (0, 1):
+                said[id(e.parent)][k] += said[id(e)][k]
+        for e in elements:
+            if sum(said[id(e)]):
+                share = said[id(e)][1] / sum(said[id(e)])
+                for f in e.features:
+                    both = shares.setdefault(f, [0.0, 0.0])
+                    both[0] += 1 - share
+                    both[1] += share
+    weights.feature.update((f, odds(c, b)) for f, (b, c) in shares.items())
+    weights.never = frozenset(f for f, (_, c) in shares.items() if c == 0 and not f.startswith(".") and f not in INLINE)
+    counts: dict[str, dict[str, list[int]]] = {"marked": {}, "plain": {}}
+    for elements, pieces, sized, labels in read:
+        place = place_of(elements, weights)
+        for (e, _, tag), k, label in zip(pieces, sized, labels, strict=True):
+            if e.name not in SILENT and tag != "wbr":
+                counts[place].setdefault(kind_of(e, tag, place), [0, 0])[label] += 1 if tag else k
+    for place, kinds in counts.items():
+        whole = [sum(k[i] for k in kinds.values()) for i in (0, 1)]
+        score = lambda b, c: log((c + 0.5) / whole[1]) - log((b + 0.5) / whole[0])  # noqa: E731, B023
+        weights.token.update(((place, k), score(b, c) if k.startswith("(") else min(LEAST, score(b, c))) for k, (b, c) in kinds.items())
+        weights.other[place] = min(LEAST, score(0, 0))
+    return weights
 
 
 def extract(html: str | None) -> str:
     """The main text of a page; empty for a null or empty page and where nothing scores above zero.
 
     Words in elements that are learnt to hold no article count nothing and
-    are left out; so are words outside the article where the page marks one.
-    Tags inside a marked article weigh little; in other pages the words of
-    links weigh what is learnt of links.
-    Of the rest a linear scan finds the run of words and tags with the
-    greatest sum of weights, the earliest of equal ones.
+    are left out. Every other word and tag has a weight; a linear scan finds
+    the run with the greatest sum, the earliest of equal ones, and the words
+    of that run are the text.
     """
     if not html:
         return ""
     weights = learnt()
-    odds, page = weights.odds, read_page(html)
-    sized = [(e, t, tag, len(t.split()) if t is not None else 0) for e, t, tag in page.pieces]
-    marked: dict[int, Element] = {}
-    totals: dict[int, int] = {}
-    for e, _, _, n in sized:
-        probe: Element | None = e if n else None
-        while probe is not None:
-            if probe.name in MAIN:
-                marked[id(probe)] = probe
-                totals[id(probe)] = totals.get(id(probe), 0) + n
-            probe = probe.parent
-    mains = [m for m in marked.values() if not own_noise(m, odds)]
-    free = [m for m in mains if not is_noise(m, odds)]
-    if mains and not free:  # a wrapper looks like noise: spare it for the largest article
-        for e, _, _, _ in sized:
-            e.noise = None
-            probe = e.parent
-            while probe is not None:
-                probe.noise = None
-                probe = probe.parent
-        best = max(mains, key=lambda m: totals[id(m)])
-        probe = best
-        while probe is not None:
-            probe.spared = probe.name not in SILENT
-            probe = probe.parent
-        free = [best]
-    articles = {id(m) for m in free if m.name == "article"} or {id(m) for m in free}
-
-    def outside(e: Element) -> bool:
-        probe: Element | None = e
-        while probe is not None:
-            if id(probe) in articles:
-                return False
-            probe = probe.parent
-        return bool(articles)
-
-    verdict: dict[int, bool] = {}
+    elements, pieces = read_page(html)
+    sized = counted_words(elements, pieces)
+    place = place_of(elements, weights)
     low = start = best_from = best_to = 0
     total = best = 0.0
-    for k, (e, t, tag, n) in enumerate(sized):
-        kept = verdict.get(id(e))
-        if kept is None:
-            kept = verdict[id(e)] = not is_noise(e, odds) and not outside(e)
-        if kept:
-            if t is not None:
-                total += n * (weights.word if articles or e.name != "a" else max(-0.5, min(odds["a"], weights.word)))
-            else:
-                total += MARKED_TAG if articles and tag.lstrip("/") not in MAIN else weights.tag.get(tag, weights.other_tag)
+    for k, (e, _, tag) in enumerate(pieces):
+        if not e.noise and (tag or sized[k]):
+            total += (1 if tag else sized[k]) * weights.score(place, kind_of(e, tag, place))
         if total < low or (total <= low and k == start):
             low, start = total, k + 1
         if total - low > best:
             best, best_from, best_to = total - low, start, k + 1
     out = []
-    for e, t, tag, _ in sized[best_from:best_to]:
+    for e, t, tag in pieces[best_from:best_to]:
         if t is None:
             if tag.lstrip("/") not in INLINE:
                 out.append(" ")
-        elif verdict[id(e)]:
-            out.append(unescape(t) if "&" in t else t)
-        else:
+        elif e.noise:
             out.append(" ")
+        else:
+            out.append(unescape(t) if "&" in t else t)
     return " ".join("".join(out).split())
 
 
@@ -288,7 +330,12 @@ def main_text(html: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with text and n_chars in place of html_col; repeated rows stay repeated."""
+    """pages with text and n_chars in place of html_col.
+
+    Null and empty pages give an empty text of 0 code points. Columns of pages
+    named text or n_chars are replaced, all others stay; repeated rows stay
+    repeated, and an empty table gives an empty result.
+    """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     done = pages.select(*keep, main_text(F.col(html_col)).alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
