@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut_lineage, fresh, table
 
-#: Code points from which lines are compared within one edit and not only for being equal.
-NEAR_CHARS = 20
 #: Code points of the window within which variants are made; what surrounds it is compared by hash.
 WINDOW = 64
 
@@ -34,9 +32,8 @@ def first_places(lines: DataFrame) -> DataFrame:
         half = F.expr("length(line) div 2") if frame is n else F.expr("(length(line) - 1) div 2")
         keys.append(F.xxhash64(F.lit("head"), frame, F.substring("line", F.lit(1), half)))
         keys.append(F.xxhash64(F.lit("tail"), frame, F.expr(f"right(line, {'length(line)' if frame is n else 'length(line) - 1'} - {'length(line) div 2' if frame is n else '(length(line) - 1) div 2'})")))
-    halves = F.when(n >= NEAR_CHARS, F.array(*keys))
     place = F.struct("doc", "twin", "line_no")
-    hashed = lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), place.alias("place"), halves.alias("halves"))
+    hashed = lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("g"), place.alias("place"), F.array(*keys).alias("halves"))
     return hashed.groupBy("h", "g", "halves").agg(F.min("place").alias("place"))
 
 
@@ -45,7 +42,8 @@ def variants(lines: DataFrame) -> DataFrame:
 
     For each window of a line, context is a hash of what surrounds it and of
     the length that a variant has. Windows whose context no other line has
-    are left out; of the others come all variants that lack one code point
+    are left out, but for lines of one window, whose context is their length
+    and rules out little; of the others come all variants that lack one code point
     (i: which one) and, as the variant of a longer line, the window itself
     (i: 0).
     """
@@ -63,10 +61,11 @@ def variants(lines: DataFrame) -> DataFrame:
             ),
         )
 
-    around = lines.select("place", F.explode(F.concat(windows(WINDOW, n - 1, "length(line) - 1"), windows(WINDOW - 1, n, "length(line)"))).alias("w")).select("place", "w.*")
+    around = lines.select("place", (n < WINDOW).alias("whole"), F.explode(F.concat(windows(WINDOW, n - 1, "length(line) - 1"), windows(WINDOW - 1, n, "length(line)"))).alias("w")).select("place", "whole", "w.*")
     around = cut_lineage(around)
-    shared = around.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context")
-    met = around.join(shared, "context", "left_semi")
+    parts = around.where("not whole")
+    shared = parts.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context")
+    met = around.where("whole").unionByName(parts.join(shared, "context", "left_semi"))
     less = F.transform(
         F.sequence(F.lit(1), F.length("part")),
         lambda i: F.struct(F.xxhash64(F.col("context"), F.concat(F.substring(F.col("part"), F.lit(1), i - 1), F.substring(F.col("part"), i + 1, F.lit(WINDOW)))).alias("context"), (F.col("j") * WINDOW + i).cast("int").alias("i")),
@@ -79,17 +78,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc, twin, line_no) of every line that has an equal or nearly equal line before it.
 
     Places come by document id, text hash and line number. A line is dropped
-    if an earlier line is equal to it or, where both have NEAR_CHARS code
-    points or more, one edit (insertion, deletion, substitution) away, even
-    if that line is dropped itself. Each hashed variant keeps only the
-    earliest place, so lines of which thousands are alike form no pairs.
+    if an earlier line, of any length, is equal to it or one edit (insertion,
+    deletion, substitution) away, even if that line is dropped itself. Each
+    hashed variant keeps only the earliest place, so lines of which thousands
+    are alike form no pairs.
     """
     lines = numbered_lines(docs, id_col, text_col)
     firsts = cut_lineage(first_places(lines))
-    halves = firsts.where("halves is not null").select("place", F.explode("halves").alias("half"))
+    halves = firsts.select("place", F.explode("halves").alias("half"))
     crowded = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     chosen = halves.join(crowded, "half", "left_semi").select("place").distinct().select("place.*")
-    here = lines.where(F.length("line") >= NEAR_CHARS).select(F.struct("doc", "twin", "line_no").alias("place"), "line")
+    here = lines.select(F.struct("doc", "twin", "line_no").alias("place"), "line")
     named = chosen.select(F.struct("doc", "twin", "line_no").alias("place"))
     near = cut_lineage(here.join(named, "place", "left_semi").distinct())
     made = variants(near)
@@ -112,7 +111,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Blank lines stay, and so does the order of lines. Null texts stay null
     and count no line. Repeated rows (same id and text) are treated alike:
     each keeps what the first of them keeps. Columns of docs named n_lines or
-    n_dropped are replaced.
+    n_dropped are replaced; an empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own, gone_doc, gone_twin, gone, lines = fresh(docs.columns, "twin", "gone_doc", "gone_twin", "gone", "lines")
@@ -136,7 +135,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sql() -> str:
     """The same as DuckDB SQL: lines that share a half are compared from their first differing code point on."""
     halves = " UNION ALL ".join(
-        f"SELECT place, line, {frame} AS frame, '{side}' AS side, md5({part}) AS part FROM near"
+        f"SELECT place, line, {frame} AS frame, '{side}' AS side, md5({part}) AS part FROM firsts"
         for frame in ("n", "n - 1")
         for side, part in (("head", f"left(line, ({frame}) // 2)"), ("tail", f"right(line, {frame} - ({frame}) // 2)"))
     )
@@ -147,8 +146,6 @@ WITH split AS (
   SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM split
 ), firsts AS (
   SELECT line, min(place) AS place, length(line) AS n FROM lines WHERE solid GROUP BY line
-), near AS (
-  SELECT * FROM firsts WHERE n >= {NEAR_CHARS}
 ), halves AS (
   {halves}
 ), pairs AS (
