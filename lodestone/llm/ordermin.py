@@ -9,11 +9,12 @@ from lodestone.llm.common import SPACE, bind, table
 
 #: Words in a k-mer, k-mers in a tuple, and the logarithm of the number of tuples.
 KMER, TUPLE, BITS = 3, 2, 6
-#: Low bits of a k-mer's code that hold its position; the rest is its hash.
+#: Low bits of a k-mer's code that hold its position; the rest is its hash. Texts of over 2**PLACE k-mers have the
+#: order of the two k-mers of a tuple by position modulo 2**PLACE.
 PLACE = 24
 _MASK = (1 << PLACE) - 1
-#: Documents whose ids lie in one stretch of this length are ordered by one task.
-STRETCH = 1024
+#: Rows that one task puts in order, about, as long as there are no more than MOST_STRETCHES of them.
+STRETCH, MOST_STRETCHES = 1024, 16_384
 
 
 def signature(text: Column, kmer: int = KMER, tuple_size: int = TUPLE, bits: int = BITS) -> Column:
@@ -74,41 +75,66 @@ def as_text(sign: Column) -> Column:
     return F.array_join(F.transform(sign, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
 
-def stretch_of(id_: Column) -> Column:
-    return F.coalesce(F.floor(id_ / STRETCH), F.lit(-(1 << 54))).cast("long")
+def in_stretches(rows: DataFrame, length: int = STRETCH, most: int = MOST_STRETCHES) -> DataFrame:
+    """rows (id, text) with _b and _s: the stretch of the order by descending id, then text hash, that each lies in.
+
+    Bounds are quantiles of the ids that occur, so ids may be dense or sparse.
+    An id that several bounds fall on has a stretch of its own, as rows
+    without id have; it is cut by text hash into as many as bounds fall on it.
+    There are at most about 4 * most stretches, however many rows.
+    """
+    n, known = rows.agg(F.count("*"), F.count("id")).first()
+    count = min(most, -(-n // length)) or 1
+    bounds: list[int] = []
+    if count > 1 and known:
+        shares = F.array(*[F.lit(k / count) for k in range(1, count)])
+        bounds = rows.agg(F.percentile_approx(F.col("id").cast("long"), shares, 8 * count)).first()[0]
+    distinct = sorted(set(bounds))
+    own = F.col("id").cast("long")
+    held, cuts = F.lit(distinct or [0]), F.lit([bounds.count(x) for x in distinct] if len(distinct) < len(bounds) else [1])
+    steps = F.lit([1 << k for k in reversed(range(max(1, len(distinct)).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(distinct)) & (F.get(held, at + step - 1) <= own), at + step).otherwise(at))
+    share = F.xxhash64("text").cast("double") / float(1 << 64) + 0.5
+    cut = lambda parts: F.least(F.floor(share * parts), parts - 1).cast("int")
+    on = (F.col("_k") > 0) & (F.get(held, F.col("_k") - 1) == own)
+    without = max(1, -(-(n - known) * count // max(1, n)))
+    rows = rows.withColumn("_k", below)
+    b = F.when(own.isNull(), F.lit(-1)).otherwise(2 * F.col("_k") - F.when(on, 1).otherwise(0))
+    s = F.when(own.isNull(), cut(F.lit(without))).when(on, cut(F.coalesce(F.get(cuts, F.col("_k") - 1), F.lit(1)))).otherwise(0)
+    return rows.withColumns({"_b": b.cast("int"), "_s": s.cast("int")}).drop("_k")
 
 
 def stretch_heads(rows: DataFrame) -> DataFrame:
-    """(_from, _head): for each stretch of ids in rows (id, text) the text of the row after its last one.
+    """(_from_b, _from_s, _head): for each stretch of rows (id, text, _b, _s) the text of the row after its last one.
 
-    That is the first row of the next stretch below, for the lowest stretch
-    the first of all. A stretch's first row is a partial maximum, and which
-    stretch follows comes from the stretches' numbers alone, in two levels.
+    That is the first row of the next stretch, for the last stretch the first
+    of all. A stretch's first row is a partial maximum; which stretch follows
+    comes from the numbers of the stretches alone, of which few exist.
     """
-    firsts = rows.groupBy(stretch_of(F.col("id")).alias("_to")).agg(F.max_by("text", F.struct("id", F.bitwise_not(F.xxhash64("text")))).alias("_head"))
-    numbers = rows.select(stretch_of(F.col("id")).alias("n")).distinct().withColumn("far", F.floor(F.col("n") / 4096))
-    within = numbers.withColumn("next", F.lead("n").over(Window.partitionBy("far").orderBy(F.col("n").desc())))
-    tops = numbers.groupBy("far").agg(F.max("n").alias("top"))
-    every = Window.orderBy(F.col("far").desc())
-    follows = tops.select("far", F.coalesce(F.lead("top").over(every), F.first("top").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("over"))
-    links = within.join(follows, "far").select(F.col("n").alias("_from"), F.coalesce("next", "over").alias("_to"))
-    return links.join(firsts, "_to").select("_from", "_head")
+    firsts = rows.groupBy(F.col("_b").alias("_to_b"), F.col("_s").alias("_to_s")).agg(F.max_by("text", F.struct("id", F.bitwise_not(F.xxhash64("text")))).alias("_head"))
+    numbers = rows.select("_b", "_s").distinct().withColumn("_here", F.struct("_b", "_s"))
+    every = Window.orderBy(F.col("_b").desc(), "_s")
+    follows = F.coalesce(F.lead("_here").over(every), F.first("_here").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    links = numbers.select(F.col("_b").alias("_from_b"), F.col("_s").alias("_from_s"), follows.alias("_to"))
+    return links.select("_from_b", "_from_s", F.col("_to._b").alias("_to_b"), F.col("_to._s").alias("_to_s")).join(firsts, ["_to_b", "_to_s"]).select("_from_b", "_from_s", "_head")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
     The edited text has, in place of the last third of the code points (n div
     3), as many of the next document by descending id, or all of it; the
     first follows the last. Ids without value come last, equal ids by a hash
     of the text. A null text counts as empty. Repeated rows follow each
-    other; one row alone follows itself.
+    other; one row alone follows itself. An empty table gives an empty
+    result; other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("_stretch").orderBy(F.col("id").desc(), F.xxhash64("text"))
-    led = rows.withColumn("sign", signature(F.col("text"))).withColumn("_stretch", stretch_of(F.col("id")))
+    rows = in_stretches(rows, stretch)
+    order = Window.partitionBy("_b", "_s").orderBy(F.col("id").desc(), F.xxhash64("text"))
+    led = rows.withColumn("sign", signature(F.col("text")))
     led = led.withColumns({"_text": F.lead("text").over(order), "_sign": F.lead("sign").over(order)})
-    led = led.join(stretch_heads(rows), F.col("_stretch") == F.col("_from"), "left")
+    led = led.join(stretch_heads(rows), (F.col("_b") == F.col("_from_b")) & (F.col("_s") == F.col("_from_s")), "left")
     last = F.col("_text").isNull()
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
