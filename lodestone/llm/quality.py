@@ -163,6 +163,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns; the model is that of score_quality."""
+    return docs.where(quality_score(F.col("text"), fit(docs, labels.where(~held_out(F.col("doc_id"))))) >= threshold)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

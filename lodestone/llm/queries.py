@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lodestone.llm import chat
 from lodestone.llm.classlm import op9_lm_scores
 from lodestone.llm.decontaminate import op8_decontaminate
@@ -25,7 +24,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_scores": op9_lm_scores,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.op3_sql(), "op4_mix_sources": op4_sql(), "op5_line_dedup": op5_sql()}
