@@ -62,10 +62,28 @@ def http_method(line: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     """The path of a URL; null where there is none or only the root."""
-    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    path = resolved(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
     return F.when(~path.isin("", "/"), path)
 
 
+def resolved(path: Column) -> Column:
+    """A URL path as parsers give it: . and .. parts resolved, and what may not stand in a path percent-encoded."""
+    bare = lambda s: F.replace(F.lower(s), F.lit("%2e"), F.lit("."))
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(bare(part) == "..", up).when(bare(part) == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends = bare(F.element_at(parts, -1)).isin(".", "..")
+    walked = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends & (F.size(kept) > 0), "/").otherwise(""))
+    dotted = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|\z)"), walked).otherwise(path)
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), F.lit("%$1"))
+    encoded = F.array_join(F.transform(F.split(dotted, ""), lambda c: F.when(c.rlike(r"""[^\x21-\x7e]|["<>^`{}]"""), code(c)).otherwise(c)), "")
+    return F.when(dotted.rlike(r"""[^\x21-\x7e]|["<>^`{}]"""), encoded).otherwise(dotted)
+
+
 def normal_path(path: Column) -> Column:
     """A path with ids replaced by {id} and without slashes at its end."""
     bare = F.regexp_replace(path, F.lit(r"/+\z"), F.lit(""))

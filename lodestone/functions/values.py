@@ -13,38 +13,38 @@ WIDE_SPACE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 URL = r"""(?i)https?://[^\s"'`<>{}|\\^)\]]+"""
 WEBSOCKET_URL = r"""(?i)wss?://[^\s"'`<>{}|\\^)\]]+"""
 
-# What follows the opening quote of a REST path, in order, up to the closing quote.
+# Patterns of quoted REST paths, in order.
 REST_PATHS = (
-    r"/api/v?\d*/[^\s\"']+",
-    r"/v\d+/[^\s\"']+",
-    r"/auth/[^\s\"']+",
-    r"/user[s]?/[^\s\"']*",
-    r"/session[s]?/[^\s\"']*",
-    r"/login",
-    r"/register",
-    r"/logout",
-    r"/token",
-    r"/leaderboard[s]?[^\s\"']*",
-    r"/score[s]?[^\s\"']*",
-    r"/match[^\s\"']*",
-    r"/player[s]?[^\s\"']*",
-    r"/item[s]?[^\s\"']*",
-    r"/shop[^\s\"']*",
-    r"/purchase[^\s\"']*",
-    r"/inventory[^\s\"']*",
-    r"/reward[s]?[^\s\"']*",
-    r"/event[s]?[^\s\"']*",
-    r"/config[^\s\"']*",
-    r"/version[^\s\"']*",
-    r"/update[^\s\"']*",
-    r"/notification[s]?[^\s\"']*",
-    r"/friend[s]?[^\s\"']*",
-    r"/guild[s]?[^\s\"']*",
-    r"/chat[^\s\"']*",
-    r"/gacha[^\s\"']*",
-    r"/summon[^\s\"']*",
-    r"/battle[^\s\"']*",
-    r"/quest[s]?[^\s\"']*",
+    r"""(?i)["']/api/v?\d*/[^\s"']+["']""",
+    r"""(?i)["']/v\d+/[^\s"']+["']""",
+    r"""(?i)["']/auth/[^\s"']+["']""",
+    r"""(?i)["']/user[s]?/[^\s"']*["']""",
+    r"""(?i)["']/session[s]?/[^\s"']*["']""",
+    r"""(?i)["']/login["']""",
+    r"""(?i)["']/register["']""",
+    r"""(?i)["']/logout["']""",
+    r"""(?i)["']/token["']""",
+    r"""(?i)["']/leaderboard[s]?[^\s"']*["']""",
+    r"""(?i)["']/score[s]?[^\s"']*["']""",
+    r"""(?i)["']/match[^\s"']*["']""",
+    r"""(?i)["']/player[s]?[^\s"']*["']""",
+    r"""(?i)["']/item[s]?[^\s"']*["']""",
+    r"""(?i)["']/shop[^\s"']*["']""",
+    r"""(?i)["']/purchase[^\s"']*["']""",
+    r"""(?i)["']/inventory[^\s"']*["']""",
+    r"""(?i)["']/reward[s]?[^\s"']*["']""",
+    r"""(?i)["']/event[s]?[^\s"']*["']""",
+    r"""(?i)["']/config[^\s"']*["']""",
+    r"""(?i)["']/version[^\s"']*["']""",
+    r"""(?i)["']/update[^\s"']*["']""",
+    r"""(?i)["']/notification[s]?[^\s"']*["']""",
+    r"""(?i)["']/friend[s]?[^\s"']*["']""",
+    r"""(?i)["']/guild[s]?[^\s"']*["']""",
+    r"""(?i)["']/chat[^\s"']*["']""",
+    r"""(?i)["']/gacha[^\s"']*["']""",
+    r"""(?i)["']/summon[^\s"']*["']""",
+    r"""(?i)["']/battle[^\s"']*["']""",
+    r"""(?i)["']/quest[s]?[^\s"']*["']""",
 )
 
 # Patterns of HTTP methods, the first that matches counts.

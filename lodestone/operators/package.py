@@ -32,14 +32,29 @@ def native_libraries(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("entry").rlike(NATIVE_LIB)).select("archive", *[c for c in entries.columns if c.endswith("_ord")], part(2).alias("name"), part(1).alias("abi"), F.col("entry").alias("path"))
 
 
+# What a start tag holds behind its name: quoted values may hold any character.
+INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def unescaped(text: Column) -> Column:
+    """Text with the five named entities of XML and with character references resolved, & last."""
+    hex_ = lambda c: F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32")
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    parts = F.split(text, r"&#(?=(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)")
+    said = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(hex_(F.when(p.startswith("x"), F.regexp_extract(p, "^x([0-9A-Fa-f]+);", 1)).otherwise(F.conv(F.regexp_extract(p, "^([0-9]+);", 1), 10, 16))), F.regexp_replace(p, F.lit("^[^;]*;"), F.lit("")))))
+    return F.replace(F.array_join(said, ""), F.lit("&amp;"), F.lit("&"))
+
+
 def attribute(tag: Column, *names: str) -> Column:
-    """The first of the named attributes of a start tag; null if it has none."""
-    found = [F.nullif(F.regexp_extract(tag, rf"""\s{n}\s*=\s*["']([^"']*)["']""", 1), F.lit("")) for n in names]
-    return F.coalesce(*found)
+    """The first of the named attributes of a start tag, entities resolved; null if it has none."""
+    found = [F.nullif(F.regexp_extract(tag, rf"""\s{n}\s*=\s*("[^"]*"|'[^']*')""", 1), F.lit("")) for n in names]
+    raw = F.coalesce(*found)
+    return unescaped(F.substring(raw, F.lit(2), F.length(raw) - 2))
 
 
 def tags(xml: Column, name: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"<{name}(?=[\s/>])[^>]*>"), F.lit(0))
+    return F.regexp_extract_all(xml, F.lit(rf"<{name}(?=[\s/>]){INSIDE}>"), F.lit(0))
 
 
 def names_of(xml: Column, element: str) -> Column:

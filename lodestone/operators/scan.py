@@ -61,7 +61,7 @@ def literal_paths(lines: DataFrame) -> DataFrame:
     rules, but only after methods are known, which they may give.
     """
     quoted = with_methods(lines).where(F.contains("text", F.lit('"/')) | F.contains("text", F.lit("'/")))
-    every = F.array(*[F.regexp_extract_all("text", F.lit(f"(?i)[\"']{p}[\"']"), F.lit(0)) for p in V.REST_PATHS])
+    every = F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in V.REST_PATHS])
     by_rule = quoted.select("*", F.posexplode(every).alias("rule", "found")).where(F.size("found") > 0)
     return by_rule.select("*", F.posexplode("found").alias("pos", "raw")).withColumn("path", rules.unquoted(F.col("raw")))
 

@@ -54,7 +54,7 @@ def parse_methods(content: Column) -> Column:
 def parse_fields(content: Column) -> Column:
     group = lambda g: F.regexp_extract_all(content, F.lit(V.FIELD), F.lit(g))
     parts = F.arrays_zip(group(1).alias("s"), group(2).alias("t"), group(3).alias("n"), group(4).alias("v"))
-    value = lambda v: F.nullif(F.trim(v), F.lit(""))
+    value = lambda v: F.nullif(F.regexp_replace(v, F.lit(rf"^[{V.WIDE_SPACE}]+|[{V.WIDE_SPACE}]+\z"), F.lit("")), F.lit(""))
     return F.transform(parts, lambda p: F.struct(p["n"].alias("name"), p["t"].alias("type"), (p["s"] != "").alias("is_static"), value(p["v"]).alias("initial_value")))
 
 

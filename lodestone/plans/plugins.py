@@ -26,12 +26,12 @@ class EnginePlugin(Protocol):
 
 
 class GenericPlugin:
-    """Takes any package."""
+    """The last resort: what no other plugin takes."""
 
-    id, name, engines = "generic", "Generic", ("unity-mono", "unity-il2cpp", "unreal", "godot", "native")
+    id, name, engines = "generic", "Generic Android App", ("native",)
 
     def can_handle(self, meta: dict) -> bool:
-        return True
+        return meta.get("engine") in self.engines
 
     def additional_scan_dirs(self, workdir: str) -> list[str]:
         return []
@@ -53,6 +53,9 @@ class Registry:
     def register(self, plugin: EnginePlugin) -> None:
         self.plugins.append(plugin)
 
+    def list(self) -> list[EnginePlugin]:
+        return [*self.plugins]
+
     def select(self, meta: dict) -> EnginePlugin:
         return next((p for p in self.plugins if p.id != "generic" and p.can_handle(meta)), self.generic)
 

@@ -56,7 +56,7 @@ urls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, url ORDE
   FROM cleaned WHERE kind = 1 OR NOT {sql_any("lower(url)", V.NOISE)}) WHERE nth = 1)"""
 LINES_SQL = f"""methods AS (SELECT *, coalesce(own, first_value(own IGNORE NULLS) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 'UNKNOWN') AS method
   FROM (SELECT *, {METHOD_SQL} AS own FROM source_lines))"""
-LITERAL_SQL = "literal AS (" + " UNION ALL ".join(f"SELECT file, line, method, {k} AS rule, unnest(regexp_extract_all(text, {q(f'(?i)[\"' + chr(39) + f']{p}[\"' + chr(39) + ']')})) AS raw FROM methods" for k, p in enumerate(V.REST_PATHS)) + ")"
+LITERAL_SQL = "literal AS (" + " UNION ALL ".join(f"SELECT file, line, method, {k} AS rule, unnest(regexp_extract_all(text, {q(p)})) AS raw FROM methods" for k, p in enumerate(V.REST_PATHS)) + ")"
 PATHS_SQL = f"""{URLS_SQL}, {LINES_SQL}, {LITERAL_SQL},
 every AS (SELECT file, line, method, 0 AS pass, rule, substring(raw, 2, length(raw) - 2) AS path, NULL AS full_url FROM literal
   UNION ALL SELECT file, line, 'UNKNOWN', 1, kind, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), url FROM urls),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import posixpath
 import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,10 +15,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.operators import package
+from lodestone.sources import storage
 
 ENTRY = "archive string, input_type string, sha256 string, entry_ord int, entry string, size long, content binary"
 #: Entries of which the content is kept; of others only the name counts.
 KEPT = ("AndroidManifest.xml",)
+#: What reading a damaged, encrypted or unknown archive raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, KeyError, ValueError, AttributeError, RuntimeError, NotImplementedError, EOFError, OSError)
 # Chunk and attribute types of compiled XML.
 XML, POOL, START, END = 0x0003, 0x0001, 0x0102, 0x0103
 REFERENCE, STRING, INTEGER, BOOLEAN = 0x01, 0x03, 0x10, 0x12
@@ -27,11 +33,30 @@ def inner_package(names: list[str]) -> str | None:
     return next((n for n in packages if n.lower().rpartition("/")[2] == "base.apk"), packages[0] if packages else None)
 
 
-def expand(archives: DataFrame, nested: bool = True) -> DataFrame:
+def read_entry(bundle: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes | None:
+    """An entry's content; null where it is encrypted, damaged or packed in an unknown way.
+
+    Packages often mark entries as encrypted that are not, so the mark is
+    taken away for a second try.
+    """
+    try:
+        return bundle.read(info)
+    except UNREADABLE:
+        if not info.flag_bits & 1:
+            return None
+    info.flag_bits &= ~1
+    try:
+        return bundle.read(info)
+    except UNREADABLE:
+        return None
+
+
+def expand(archives: DataFrame, nested: bool = True, every: bool = False) -> DataFrame:
     """archives (path, content) as a row for each entry, in order; bundles are replaced by the package inside them.
 
-    Other splits of a bundle are not read. What isn't an archive, or a bundle
-    without a package, has no entries.
+    sha256 is that of the package the entries are of. Other splits of a bundle
+    are not read. What isn't an archive, or a bundle without a package, has no
+    entries. Contents are kept of manifests, or of every entry.
     """
 
     def read(batches):
@@ -41,11 +66,13 @@ def expand(archives: DataFrame, nested: bool = True) -> DataFrame:
                 try:
                     bundle = zipfile.ZipFile(io.BytesIO(bytes(content)))
                     if nested and kind == "xapk":
-                        bundle = zipfile.ZipFile(io.BytesIO(bundle.read(inner_package(bundle.namelist()))))
-                    for k, info in enumerate(bundle.infolist()):
-                        made.append((path, kind, sha, k, info.filename, info.file_size, bundle.read(info) if info.filename in KEPT else None))
-                except (zipfile.BadZipFile, KeyError, ValueError, AttributeError):
+                        own = bundle.read(inner_package(bundle.namelist()))
+                        bundle, sha = zipfile.ZipFile(io.BytesIO(own)), hashlib.sha256(own).hexdigest()
+                except UNREADABLE:
                     continue
+                for k, info in enumerate(bundle.infolist()):
+                    kept = info.filename in KEPT or (every and not info.is_dir())
+                    made.append((path, kind, sha, k, info.filename, info.file_size, read_entry(bundle, info) if kept else None))
             yield pd.DataFrame(made, columns=["archive", "input_type", "sha256", "entry_ord", "entry", "size", "content"])
 
     rows = archives.select("path", rules.input_type(F.col("path")).alias("input_type"), F.sha2("content", 256).alias("sha256"), "content")
@@ -128,14 +155,36 @@ def manifest_text(content: Column) -> Column:
 def ingest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """manifests, meta, native_libs and entries of the packages under path (a file, folder or pattern).
 
-    meta has a row for each archive: input type, hash of the outer file,
-    engine and flags; manifests one for each archive that has a manifest.
+    meta has a row for each archive that holds a package: input type, hash of
+    the package, engine and flags; manifests one for each archive that has a
+    manifest. Archives are unpacked once; release entries when done.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    entries = expand(files)
+    entries = expand(files).persist()
     engines = package.detect_engines(entries)
-    outer = files.select(F.col("path").alias("archive"), rules.input_type(F.col("path")).alias("input_type"), F.sha2("content", 256).alias("sha256"))
+    outer = entries.select("archive", "input_type", "sha256").distinct()
     first = Window.partitionBy("archive").orderBy("entry_ord")
     manifests = entries.where("content is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     manifests = package.parse_manifests(manifests.select("archive", manifest_text(F.col("content")).alias("xml")))
-    return {"entries": entries.drop("content"), "meta": outer.join(engines, "archive"), "manifests": manifests, "native_libs": package.native_libraries(entries)}
+    return {"entries": entries, "meta": outer.join(engines, "archive"), "manifests": manifests, "native_libs": package.native_libraries(entries)}
+
+
+def extract(spark: SparkSession, path: str, folder: str) -> int:
+    """Writes the entries of a package under folder, by the task that unpacks it; returns how many.
+
+    folder has to be on a file system that all machines share. Entries whose
+    names lead out of folder are not written.
+    """
+
+    def write(batches):
+        for part in batches:
+            done = 0
+            for name, content in zip(part["entry"], part["content"], strict=True):
+                at = posixpath.normpath(name.replace("\\", "/"))
+                if content is not None and not at.startswith(("/", "..")) and at != ".":
+                    storage.write_bytes(f"{folder}/{at}", bytes(content))
+                    done += 1
+            yield pd.DataFrame({"n": [done]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return expand(files, every=True).select("entry", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0

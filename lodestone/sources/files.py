@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
+from lodestone.sources import storage
 
 #: Folders of a working directory, in the order of their sources.
 SCAN_FOLDERS = ("jadx", "unity", "il2cpp", "extracted")
@@ -22,23 +26,79 @@ def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = V.S
     """(dir_ord, file, length, content) of the files under folder, file relative to it.
 
     Path, extension and size are tested before contents are read; a column
-    that is not used is not read at all. Unreadable files are skipped.
+    that is not used is not read at all. Unreadable files are skipped. Names
+    that begin with a dot or an underscore, which Spark's reader passes over,
+    are found through the file system and read too.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+    folder = qualified(spark, folder)
+    folders, lone = hidden(spark, folder)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load([folder, *folders])
+    rows = rows.select("path", "length", "content")
+    if lone:
+        rows = rows.union(read_lone(spark, [x for x in lone if max_bytes is None or x[1] <= max_bytes]))
     rows = rows.where(has_extension(F.col("path"), extensions))
     if max_bytes is not None:
         rows = rows.where(F.col("length") <= max_bytes)
-    root = F.lit(folder.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    at = F.instr(F.col("path"), root)
-    relative = F.substring(F.col("path"), at + F.length(root) + 1, F.length("path"))
+    root = (folder if "://" in folder else "file:" + folder).rstrip("/") + "/"
+    relative = F.substring(F.regexp_replace("path", F.lit("^file:/+"), F.lit("file:/")), len(root) + 1, 1 << 30)
     return rows.select(F.lit(dir_ord).alias("dir_ord"), relative.alias("file"), "length", "content")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The Hadoop path of a name, and its file system."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole name of a file or folder: absolute and without . and .. parts; one on the local file system has no scheme."""
+    made, system = hadoop_path(spark, path)
+    if system.getScheme() == "file":
+        return os.path.abspath(re.sub("^file:/+", "/", path))
+    return made.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+
+def hidden(spark: SparkSession, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Folders under folder, and files (path, length), whose names Spark's reader passes over.
+
+    Walks folders only as far as file names go; a hidden folder's own hidden
+    parts are listed as well.
+    """
+    made, system = hadoop_path(spark, folder)
+    folders, lone, open_ = [], [], [made] if system.exists(made) else []
+    while open_:
+        for status in system.listStatus(open_.pop()):
+            path, name = status.getPath(), status.getPath().getName()
+            passed = name.startswith((".", "_"))
+            if status.isDirectory():
+                open_.append(path)
+                if passed:
+                    folders.append(path.toString())
+            elif passed and not name.endswith((".crc", "_SUCCESS")):
+                lone.append((path.toString(), status.getLen()))
+    return folders, lone
+
+
+def read_lone(spark: SparkSession, named: list[tuple[str, int]]) -> DataFrame:
+    """(path, length, content) of single files, read by the tasks; those that can't be read are left out."""
+
+    def read(batches):
+        for part in batches:
+            made = []
+            for path, length in zip(part["path"], part["length"], strict=True):
+                try:
+                    made.append((path, length, storage.read_bytes(path)))
+                except OSError:
+                    continue
+            yield pd.DataFrame(made, columns=["path", "length", "content"])
+
+    return spark.createDataFrame(named, "path string, length long").mapInPandas(read, "path string, length long, content binary")
+
+
 def existing(spark: SparkSession, workdir: str, names: Sequence[str]) -> list[str]:
     """Those of the folders of workdir that exist, in order, on whatever file system workdir is."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    return [f"{workdir}/{n}" for n in names if path(f"{workdir}/{n}").getFileSystem(conf).exists(path(f"{workdir}/{n}"))]
+    found = [(f"{workdir}/{n}", *hadoop_path(spark, f"{workdir}/{n}")) for n in names]
+    return [name for name, path, system in found if system.exists(path)]
 
 
 def source_files(spark: SparkSession, folders: Sequence[str], **options) -> DataFrame | None:

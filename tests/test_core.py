@@ -1,5 +1,6 @@
 """Examples of the product's operators with exact expected values."""
 
+import hashlib
 import io
 import json
 import struct
@@ -131,11 +132,13 @@ def test_commands(spark, tmp_path):
     inner = bundle([("AndroidManifest.xml", MANIFEST), ("lib/x86/libunity.so", "")])
     (tmp_path / "game.xapk").write_bytes(bundle([("other.apk", b"x"), ("base.apk", inner)]))
     work = str(tmp_path / "work")
+    found = pipeline.ingest(spark, str(tmp_path / "game.xapk"), work)
     source = tmp_path / "work/extracted/a/ApiClient.java"
     source.parent.mkdir(parents=True)
     source.write_text('package com.x;\nimport java.util.List;\n@Keep\npublic class ApiClient {\n  private static final int MAX = 3;\n  private Object o;\n  @Override\n  public String run(int a, List<String> b) {\n    post("/auth/login", jwt);\n    return go();\n  }\n  int none() {}\n}\n')
     (tmp_path / "work/extracted/skip.bin").write_text("https://x.net/zip")
-    found = pipeline.ingest(spark, str(tmp_path / "game.xapk"), work)
+    (tmp_path / "work/extracted/AndroidManifest.xml").unlink()
+    assert found["meta"]["sha256"] == hashlib.sha256(inner).hexdigest() == found["meta"]["apkFiles"][0]["sha256"]
     assert found["meta"]["engine"] == "unity-mono" and found["meta"]["inputType"] == "xapk" and found["meta"]["nativeLibs"] == [{"name": "libunity.so", "abi": "x86", "path": "lib/x86/libunity.so"}]
     assert found["manifest"]["packageName"] == "com.x" and found["manifest"]["versionCode"] == "3" and found["manifest"]["versionName"] == "0.0.0" and found["manifest"]["minSdkVersion"] == "21"
     assert found["manifest"]["permissions"] == ["android.permission.INTERNET"] and found["manifest"]["activities"] == [".Main"] and found["manifest"]["receivers"] == [".R"]
@@ -155,10 +158,58 @@ def test_commands(spark, tmp_path):
         assert part in kotlin
     same = pipeline.compare(spark, f"{work}/extracted", f"{work}/extracted", str(tmp_path / "c.md"))
     assert same.overall().first()[0] == 100 and "| **Overall similarity** | **100%** |" in (tmp_path / "c.md").read_text()
-    assert "not installed" in pipeline.decompile("x.apk", work, ["il2cppdumper"])["il2cppdumper"]["error"]
+    tools = pipeline.decompile(spark, "x.apk", work)
+    assert list(tools) == ["jadx", "assetripper"] and "not installed" in tools["jadx"]["error"]
+    assert "missing" in pipeline.decompile(spark, "x.apk", work, ["il2cppdumper"])["il2cppdumper"]["error"]
+    assert pipeline.decompile(spark, "none.apk", work, ["jadx"], {"jadx": "/bin/ls"})["jadx"]["error"]
+    assert pipeline.report(spark, work)["json"].endswith("report.json")
+    assert [e["path"] for e in json.load(open(f"{work}/analysis/endpoints.json"))] == ["/auth/login"] and json.load(open(f"{work}/analysis/scan-summary.json"))["endpointsFound"] == 1
     assert pipeline.reconstruct(spark, str(tmp_path / "none"))["fidelityScore"] == 0
 
 
+def test_analyze_without_tools(spark, tmp_path, monkeypatch):
+    """From .apk and .xapk to both reports, with a relative working directory, hidden names and damaged entries."""
+    monkeypatch.chdir(tmp_path)
+    inner = bundle([("AndroidManifest.xml", MANIFEST), ("assets/_config.json", '{"u": "https://api.game.net/v1/play"}'), ("_Root/.x/a.txt", 'p("/shop/items")'), ("../../evil.txt", "x"), ("res/", "")])
+    damaged = bytearray(bundle([("AndroidManifest.xml", MANIFEST), ("a.txt", "secret words" * 50)]))
+    at = damaged.rindex(b"PK\x01\x02")
+    damaged[at + 8] |= 1  # marked as encrypted
+    (tmp_path / "a.apk").write_bytes(inner)
+    (tmp_path / "b.xapk").write_bytes(bundle([("split.apk", b"no archive"), ("BASE.apk", inner)]))
+    (tmp_path / "c.apk").write_bytes(bytes(damaged))
+    for package, work in (("a.apk", "./out a"), ("b.xapk", "out/x/../b")):
+        made = pipeline.analyze(spark, str(tmp_path / package), work, tools=())
+        data = json.load(open(made["json"]))
+        assert [(u["url"], u["file"]) for u in data["urls"]] == [("https://api.game.net/v1/play", "assets/_config.json")] and "# APK Analysis Report" in open(made["markdown"]).read()
+        assert {e["path"] for e in data["endpoints"]} == {"/v1/play", "/shop/items"} and data["scan"]["totalFiles"] == 3
+    assert not (tmp_path.parent / "evil.txt").exists() and not (tmp_path / "evil.txt").exists()
+    assert pipeline.ingest(spark, str(tmp_path / "c.apk"), str(tmp_path / "c"))["manifest"]["packageName"] == "com.x" and (tmp_path / "c/extracted/a.txt").read_text().startswith("secret")
+    (tmp_path / "d.xapk").write_bytes(bundle([("readme.txt", "x")]))
+    with pytest.raises(ValueError, match="no package"):
+        pipeline.ingest(spark, str(tmp_path / "d.xapk"), "d")
+    from lodestone.__main__ import parser, run
+
+    said = run(spark, parser().parse_args(["-q", "scan", "./out a"]))
+    assert "totalFiles: 3" in said and run(spark, parser().parse_args(["compare", "./out a/extracted", "out/b/extracted", "-o", "c.md"])).endswith("100%")
+
+
+@pytest.mark.parametrize(("xml", "name", "activities"), [
+    ("<manifest package='a.b'><application><activity android:name=\"it's &amp; A&#66;&#x43;\"/></application></manifest>", "a.b", ["it's & ABC"]),
+    ("<manifest label=\"a>b\" package='x\"y'><application label='>'><activity\n name = '.N'></activity><!-- <activity name='.C'/> --></application></manifest>", 'x"y', [".N"]),
+    ("<manifest package=\"\"><application/></manifest>", "", []), ("<manifest/>", "unknown", []), ("<manifest a='&amp;lt;' package='&lt;&amp;lt;'/>", "<&lt;", []),
+])
+def test_manifests_as_xml(spark, xml, name, activities):
+    got = package.parse_manifests(spark.createDataFrame([(xml,)], "xml string")).first()
+    assert (got["package_name"], got["activities"]) == (name, activities)
+
+
+@pytest.mark.parametrize(("url", "path"), [
+    ("https://x.net/a/./b/../c?q=1", "/a/c"), ("https://x.net/a/b/..", "/a/"), ("https://x.net/..", None), ("https://x.net/a/%2e%2E/b", "/b"), ("https://x.net/é{id}", "/%C3%A9%7Bid%7D"), ("https://x.net", None), ("https://x.net//a//", "//a//"),
+])
+def test_url_paths(spark, url, path):
+    assert value(spark, rules.url_path, url) == path
+
+
 def test_comparison_of_names_and_tokens(spark):
     old = spark.createDataFrame([("a/Foo.kts.kt", "class Foo val x = 1"), ("b/Bar.java", "alpha beta"), ("E.java", "")], "file string, content string")
     new = spark.createDataFrame([("Foos.kt.java", "class Foo fun go()"), ("z/Bar.java", "beta gamma"), ("y/Bar.java", "alpha beta"), ("E.java", "")], "file string, content string")
@@ -188,7 +239,8 @@ def test_trim_and_encoding(spark):
 
 def test_plugins(spark):
     registry = plugins.Registry()
-    assert registry.select({}).id == "generic"
+    assert registry.select({}).id == "generic" and [p.id for p in registry.list()] == ["generic"]
+    assert registry.generic.can_handle({"engine": "native"}) and not registry.generic.can_handle({"engine": "unreal"})
     rows = plugins.plugin_urls(lines_of(spark, '@GET("/a/b")\nnew URL( "https://x.net")'), registry.generic)
     assert [(r["line"], r["url"]) for r in rows.orderBy("line").collect()] == [(1, "/a/b"), (2, "https://x.net")]
 
