@@ -15,6 +15,16 @@ SELECT concat('jadx/m', CAST(user_id % 7 AS STRING), '/Client', CAST(user_id AS
     WHEN 'purchase' THEN concat('  String u = "https://api.game', CAST(event_id % 5 AS STRING), '.net/v1/purchase/', CAST(event_id % 20 AS STRING), '";')
     WHEN 'signup' THEN '  headers.put("Authorization", "Bearer " + jwtToken);'
     ELSE '  // http://schemas.android.com/apk/res/android wss://rt.game.net/ws,' END AS text
+FROM events""",
+    "rule_lines": """
+SELECT concat('R', CAST(event_id % 97 AS STRING), '.cs') AS file, CAST(event_id AS INT) AS line,
+  CASE event_id % 6
+    WHEN 0 THEN concat('call("/', ' + PATHS + ', CAST(user_id AS STRING), '");')
+    WHEN 1 THEN concat('call("/', ' + WORDS + ', '");')
+    WHEN 2 THEN concat('x = ', ' + METHODS + ', ';')
+    WHEN 3 THEN concat('// ', ' + SECRETS + ')
+    WHEN 4 THEN concat('u = "https://', ' + HOSTS + ', '";')
+    ELSE concat('u = "https://x.net/', ' + WORDS + ', '/a";') END AS text
 FROM events""",
     "raw_endpoints": """
 SELECT CAST(o_orderkey AS BIGINT) AS ord,
@@ -43,7 +53,16 @@ SELECT concat('src/C', CAST(p_partkey AS STRING), '.java') AS file,
     ' {', chr(10), '  private static final int MAX = ', CAST(p_size AS STRING), ';', chr(10), '  private Object ref;', chr(10), '  public void run() {', chr(10), '    go();', chr(10), '  }', chr(10), '}', chr(10)) AS content
 FROM part""",
 }
-TABLE_OF = {"source_lines": "events", "raw_endpoints": "orders", "archive_entries": "supplier", "manifests": "customer", "class_sources": "part"}
+LISTS = {
+    "PATHS": ("api/v2/", "api/", "v3/", "auth/", "users/", "user/", "sessions/", "leaderboards", "scores/", "match/", "player/", "items", "shop/", "purchase/", "inventory/", "rewards/", "events/", "config/", "version/", "update/", "notifications/", "friends/", "guild/", "chat/", "gacha/", "summon/", "battle/", "quests/"),
+    "WORDS": ("login", "register", "logout", "token", "score", "mission", "level", "clan", "iap", "store", "metrics", "assets", "profile", "zzz"),
+    "METHODS": (".get (u)", "a.Post(u)", ".put(u)", ".delete(u)", ".patch(u)", "HttpMethod.GET", "HttpMethod.Post", "HttpMethod.PUT", "HttpMethod.DELETE", "RequestMethod.GET", "RequestMethod.POST", '"GET"', '"POST"', '"PUT"', '"DELETE"', "UnityWebRequest.Get", "UnityWebRequest.Post", "UnityWebRequest.Put", "UnityWebRequest.Delete", "new WWW (u)", "none"),
+    "SECRETS": ("JWT", "json web token", "Bearer x", "OAuth2", "openid", "api_key", "ApiKey", "session-token", "sessionId", "basic auth", "Authorization: Basic", "X-Auth-Token", "x-session-id", "refresh_token", "accessToken", "nothing"),
+    "HOSTS": ("www.google-analytics.com/a", "sentry.io/b", "x.cloudfront.net/c", "cdn.x.net/d", "assets.x.net", "x.net/auth", "x.net/oauth", "x.net/api/e", "x.net/v1/f", "x.net/g", "schemas.android.com/h"),
+}
+for _name, _words in LISTS.items():
+    SQL["rule_lines"] = SQL["rule_lines"].replace(f"' + {_name} + '", "CASE (event_id div 6) % " + str(len(_words)) + "".join(f" WHEN {k} THEN '{w}'" for k, w in enumerate(_words)) + " END")
+TABLE_OF = {"rule_lines": "events", "source_lines": "events", "raw_endpoints": "orders", "archive_entries": "supplier", "manifests": "customer", "class_sources": "part"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,4 +74,4 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(*names: str) -> str:
     """The relations as common table expressions."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names)
+    return "WITH " + ", ".join(f"{n} AS ({SQL[n].replace(' div ', ' // ')})" for n in names)

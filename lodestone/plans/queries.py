@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
@@ -316,8 +316,119 @@ def content_hash(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
-@query(None)
+ORDERED_SQL = f"""{PATHS_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY file, pass, line, rule) AS ord FROM uniq),
+merged AS (SELECT {NORMAL_SQL} AS normal, coalesce(arg_min(method, ord) FILTER (WHERE method <> 'UNKNOWN'), 'UNKNOWN') AS method, arg_min(full_url, ord) FILTER (WHERE full_url IS NOT NULL) AS full_url,
+  arg_min(category, ord) AS category, CAST(count(*) AS INT) AS sources FROM numbered GROUP BY 1)"""
+
+
+@query(f"""{ORDERED_SQL}, {AUTH_SQL.removeprefix(duck("source_lines"))[2:]}
+SELECT 'urls' AS section, CAST(json_object('url', url, 'category', category, 'file', file, 'line', line) AS VARCHAR) AS payload FROM urls
+UNION ALL SELECT 'endpoints', CAST(json_object('method', method, 'path', normal, 'fullUrl', full_url, 'category', category, 'sourceCount', sources) AS VARCHAR) FROM merged
+UNION ALL SELECT 'authPatterns', CAST(json_object('type', type, 'file', file, 'line', line) AS VARCHAR) FROM (SELECT *, row_number() OVER (PARTITION BY type, context ORDER BY file, line, rule) AS nth FROM auth) WHERE nth = 1""")
 def report_payload(spark, d):
     rows = lines(spark, d)
     found = scan.scan_lines(rows, rows.select("file").distinct())
     return report.payload_rows(found, endpoints.map_endpoints(found.endpoints))
+
+
+@query(f"""{ORDERED_SQL} SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, min(ord)) AS INT) AS place FROM numbered GROUP BY 1""")
+def endpoint_category_order(spark, d):
+    """Categories of a summary: by count, then by where each comes first."""
+    counts = scan.category_counts(found_endpoints(spark, d))
+    return counts.select("category", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("int").alias("place"))
+
+
+RULE_SQL = f"""{duck("rule_lines")}, literal AS ({" UNION ALL ".join(f"SELECT file, line, {k} AS rule, unnest(regexp_extract_all(text, {q(p)})) AS raw FROM rule_lines" for k, p in enumerate(V.REST_PATHS))})"""
+
+
+def rule_lines(spark, d):
+    return relation(spark, d, "rule_lines").withColumn("dir_ord", F.lit(0))
+
+
+@query(f"{RULE_SQL} SELECT file, line, rule, substring(raw, 2, length(raw) - 2) AS path, {sql_endpoint_category('raw')} AS category FROM literal")
+def rest_rules(spark, d):
+    """Every rule for quoted paths, on lines that each of them matches."""
+    found = scan.literal_paths(rule_lines(spark, d))
+    return found.select("file", "line", F.col("rule").cast("int").alias("rule"), "path", rules.endpoint_category(F.col("path")).alias("category"))
+
+
+@query(f"{duck('rule_lines')} SELECT file, line, {METHOD_SQL} AS method FROM rule_lines")
+def method_rules(spark, d):
+    """Every rule for HTTP methods."""
+    return rule_lines(spark, d).select("file", "line", rules.http_method(F.col("text")).alias("method"))
+
+
+@query(f"""{duck("rule_lines")} SELECT * FROM ({" UNION ALL ".join(f"SELECT {k} AS rule, {q(t)} AS type, file, line FROM rule_lines WHERE regexp_matches(text, {q(p)})" for k, (p, t) in enumerate(V.AUTH_PATTERNS))})""")
+def auth_rules(spark, d):
+    """Every rule for authentication."""
+    return scan.discover_auth_rows(rule_lines(spark, d)).select(F.col("rule").cast("int").alias("rule"), "type", "file", "line")
+
+
+@query(f"{duck('rule_lines')}, hits AS (SELECT file, line, unnest(regexp_extract_all(text, {q(V.URL)})) AS url FROM rule_lines) SELECT DISTINCT file, url, {sql_url_category('url')} AS category FROM hits WHERE NOT {sql_any('lower(url)', V.NOISE)}")
+def url_rules(spark, d):
+    """Every host and path that decides the category of a URL."""
+    return scan.discover_urls(rule_lines(spark, d)).where("category <> 'websocket'").select("file", "url", "category")
+
+
+@query(f"""{duck("class_sources")} SELECT file, 'run' AS name, 'void' AS return_type, '' AS params, false AS is_override,
+  CAST(length(regexp_extract(content, 'run\\(\\) \\{{([^}}]*)\\}}', 1)) - length(replace(regexp_extract(content, 'run\\(\\) \\{{([^}}]*)\\}}', 1), chr(10), '')) AS INT) AS body_lines FROM class_sources""")
+def class_methods(spark, d):
+    found = classes(spark, d).select("file", F.explode("methods").alias("m"))
+    return found.select("file", "m.name", "m.return_type", F.array_join("m.params", ",").alias("params"), "m.is_override", "m.body_lines")
+
+
+@query(f"{duck('class_sources')} SELECT file, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?m)^@(\\w+)', 1))), ',') AS annotations FROM class_sources")
+def class_annotations(spark, d):
+    found = structure.class_headers(relation(spark, d, "class_sources"))
+    return found.select("file", F.array_join(F.sort_array("annotations"), ",").alias("annotations"))
+
+
+@query("""WITH t AS (SELECT unnest(['Long', 'Boolean', 'String', 'List<Int>', 'Map<String, Int>', 'Foo']) AS kotlin, unnest(range(6)) AS k)
+SELECT p_partkey, kotlin, CASE WHEN starts_with(kotlin, 'List<') THEN 'emptyList()' WHEN starts_with(kotlin, 'Map<') THEN 'emptyMap()' WHEN kotlin = 'Long' THEN '0L' WHEN kotlin = 'Boolean' THEN 'false' WHEN kotlin = 'String' THEN '""' ELSE 'null' END AS value FROM part JOIN t ON p_partkey % 6 = k""")
+def kotlin_defaults(spark, d):
+    kotlin = F.element_at(F.array(*[F.lit(x) for x in ("Long", "Boolean", "String", "List<Int>", "Map<String, Int>", "Foo")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", kotlin.alias("kotlin")).withColumn("value", rules.kotlin_default(F.col("kotlin")))
+
+
+UUID_SQL = "concat('/s/', substr(md5(CAST(o_orderkey AS STRING)), 1, 8), '-', substr(md5(CAST(o_orderkey AS STRING)), 9, 4), '-', substr(md5(CAST(o_orderkey AS STRING)), 13, 4), '-', substr(md5(CAST(o_orderkey AS STRING)), 17, 4), '-', substr(md5(CAST(o_orderkey AS STRING)), 21, 12), CASE WHEN o_orderkey % 2 = 0 THEN '/items/' ELSE '/' END, CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN '/' ELSE 'x' END)"
+
+
+@query(f"""SELECT o_orderkey, rtrim(regexp_replace(regexp_replace({UUID_SQL}, '/[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '/{{id}}'), '/[0-9]+(/|$)', '/{{id}}\\1'), '/') AS path FROM orders""")
+def path_ids(spark, d):
+    """Paths whose ids are UUIDs and numbers."""
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", rules.normal_path(F.expr(UUID_SQL)).alias("path"))
+
+
+@query(f"{ENGINE_SQL} SELECT archive, CASE engine {' '.join(f'WHEN {q(k)} THEN {q(n)}' for k, n in V.ENGINE_NAMES.items())} ELSE engine END AS name FROM engines")
+def engine_names(spark, d):
+    named = F.create_map(*[F.lit(x) for kv in V.ENGINE_NAMES.items() for x in kv])
+    found = package.detect_engines(relation(spark, d, "archive_entries"))
+    return found.select("archive", F.coalesce(F.try_element_at(named, "engine"), "engine").alias("name"))
+
+
+MANY_SQL = """WITH rows AS (SELECT doc_id, 'src/D' || CAST(doc_id // 4 AS VARCHAR) || '.java' AS name, text, list_distinct(regexp_extract_all(text, '\\b[A-Za-z_]\\w{2,}')) AS tokens FROM documents),
+originals AS (SELECT 'old/' || name AS path, name, tokens FROM rows WHERE doc_id % 4 = 0 AND doc_id % 5 <> 0),
+others AS (SELECT 'new/' || CAST(doc_id % 4 AS VARCHAR) || '/' || name AS path, name, tokens FROM rows WHERE doc_id % 4 > 0 AND doc_id % 3 <> 0),
+firsts AS (SELECT name, min(path) AS path, arg_min(tokens, path) AS tokens FROM others GROUP BY 1),
+pairs AS (SELECT a.path AS original_path, b.path AS reconstructed_path, len(list_intersect(a.tokens, b.tokens)) AS both_, len(a.tokens) AS na, len(b.tokens) AS nb FROM originals a JOIN firsts b USING (name))"""
+
+
+def many(spark, d):
+    """Originals with up to three counterparts of their name, and files of either side without any."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.lit("src/D"), F.expr("doc_id div 4").cast("string"), F.lit(".java"))
+    old = docs.where("doc_id % 4 = 0 AND doc_id % 5 <> 0").select(F.concat(F.lit("old/"), name).alias("file"), F.col("text").alias("content"))
+    new = docs.where("doc_id % 4 > 0 AND doc_id % 3 <> 0").select(F.concat(F.lit("new/"), F.expr("doc_id % 4").cast("string"), F.lit("/"), name).alias("file"), F.col("text").alias("content"))
+    return compare.compare_sources(old, new)
+
+
+@query(f"{MANY_SQL} SELECT original_path, reconstructed_path, CAST(CASE WHEN na = 0 AND nb = 0 THEN 100 WHEN na = 0 OR nb = 0 THEN 0 ELSE floor(100.0 * both_ / (na + nb - both_) + 0.5) END AS INT) AS similarity FROM pairs")
+def compare_first_of_many(spark, d):
+    return many(spark, d).matches.select("original_path", "reconstructed_path", "similarity")
+
+
+@query(f"{MANY_SQL} SELECT 'original' AS side, path FROM originals WHERE path NOT IN (SELECT original_path FROM pairs) UNION ALL SELECT 'reconstructed', path FROM others WHERE path NOT IN (SELECT reconstructed_path FROM pairs)")
+def compare_left_over(spark, d):
+    found = many(spark, d)
+    one = found.unmatched_originals.select(F.lit("original").alias("side"), F.col("original_path").alias("path"))
+    return one.union(found.unmatched_reconstructed.select(F.lit("reconstructed"), "reconstructed_path"))
