@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import chat, classlm, decontaminate, htmltext, jaccard, linededup, mixing, ordermin, quality, queries, simhash, tokencount
-from lodestone.llm.common import connected_components
+from lodestone.llm.common import batches_of, connected_components
 from oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -763,3 +763,16 @@ def test_texts_that_hold_the_probe_keep_their_places(word):
     for template in (chat.MarkedTurns(), Forgetful()):
         text, places, _ = chat.render_incrementally(template, turns)
         assert all(places) and all(text[slice(*p)] in (t, t.rpartition("</think>")[2]) for p, (_, t) in zip(places, turns, strict=True))
+
+
+def test_batches_are_small_inside_and_as_before_outside(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    most = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    with batches_of(spark, 7):
+        rows = spark.range(0, 100, 1, 2).select(most("id").alias("n")).collect()
+    assert len(rows) == 100 and max(r["n"] for r in rows) == 7
+    assert spark.conf.get(key, None) == before
+    with pytest.raises(ValueError), batches_of(spark, 7):
+        raise ValueError
+    assert spark.conf.get(key, None) == before
