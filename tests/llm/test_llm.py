@@ -776,3 +776,32 @@ def test_batches_are_small_inside_and_as_before_outside(spark):
     with pytest.raises(ValueError), batches_of(spark, 7):
         raise ValueError
     assert spark.conf.get(key, None) == before
+
+
+@pytest.mark.parametrize("n", [4, 5, 15, 16, 51, 63, 64, 400, 1023, 3300])
+def test_similar_sets_share_an_indexed_position(n):
+    """The first words of both meet on the larger set's shelf at least as often as the count filter asks, whatever words are frequent."""
+    rng = np.random.default_rng(n)
+    base = " ".join(f"w{x}" for x in range(n + 4))
+    for more in (0, n // 8, n // 4):
+        other = base + "".join(f" z{x}" for x in range(more))
+        a, b = (jaccard.shingle_set(x) for x in (base, other))
+        assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        words = np.concatenate([jaccard.position_words(x, s, 0) for x in (a, b) for s in jaccard.shelves(len(x))])
+        for frequent in (np.zeros(0, np.int64), np.unique(rng.choice(words, len(words) // 2))):
+            (_, _, x), (_, _, y) = (jaccard.sketch(t, frequent) for t in (base, other))
+            x, y = ({e["shelf"]: e for e in z} for z in (x, y))
+            shelf = (len(b).bit_length() - 1) // 2
+            shared = len(set(x[shelf]["keys"]) & set(y[shelf]["keys"]))
+            assert shared >= len(a) // 4 + 1 - (len(a) + len(b)) // 9 >= 1
+
+
+def test_unlike_texts_of_one_passage_leave_few_candidates(spark, monkeypatch):
+    """Every pair of a long list came out of the comparison once a list before: here 45959 rows."""
+    rng = random.Random(4)
+    passage = " ".join(f"common{k}" for k in range(300))
+    texts = [" ".join([passage, *(f"y{rng.randrange(10**6)}" for _ in range(1700))]) for _ in range(40)]
+    rows, plain = [], jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a: rows.append(plain(*a).count()) or plain(*a))
+    assert jaccard.keep_first(docs_of(spark, [(i, t, "x") for i, t in enumerate(texts)])).count() == 40
+    assert sum(rows) < 400
