@@ -142,15 +142,21 @@ def skeletons(classes: DataFrame, gaps: DataFrame) -> DataFrame:
     """(path, text): a Kotlin file for each class, the last of equal paths.
 
     Gaps come by the simple name of the class, so classes of one name share
-    them.
+    them: their notes are put together once a name, and only for the classes
+    that stay.
     """
-    by_name = gaps.groupBy("class_name").agg(F.array_sort(F.collect_list(F.struct("file", "gap_ord", "gap_type", "description", "confidence"))).alias("gaps"))
-    rows = classes.join(by_name, classes["name"] == by_name["class_name"], "left")
+    folder = F.translate("package_name", ".", "/")
+    path = F.concat(F.lit("src/main/java/"), F.when(folder == "", F.lit("")).otherwise(F.concat(folder, F.lit("/"))), "name", F.lit(".kt"))
+    held = ["name", "package_name", "super_class", "interfaces", "imports", "methods", "fields"]
+    last = classes.groupBy(path.alias("path")).agg(F.max_by(F.struct(*held), "file").alias("c")).select("path", "c.*")
+    note = F.concat(F.lit(" *   ["), "gap_type", F.lit("] "), "description", F.lit(" (confidence: "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%)"))
+    listed = F.array_sort(F.collect_list(F.struct("file", "gap_ord", "gap_type", "description", "confidence", note.alias("note"))))
+    by_name = gaps.groupBy("class_name").agg(F.array_join(listed["note"], "\n").alias("notes"))
+    rows = last.join(by_name, last["name"] == by_name["class_name"], "left")
     lit = F.lit
     none = F.array().cast("array<string>")
     value = lambda f: F.coalesce(f["initial_value"], rules.kotlin_default(rules.kotlin_type(f["type"])))
     imports = rules.kotlin_imports(F.col("imports"))
-    notes = F.transform("gaps", lambda g: F.concat(lit(" *   ["), g["gap_type"], lit("] "), g["description"], lit(" (confidence: "), F.round(g["confidence"] * 100).cast("int").cast("string"), lit("%)")))
     above = F.concat(F.when(F.col("super_class").isNotNull(), F.array(F.concat("super_class", lit("()")))).otherwise(none), F.col("interfaces"))
     head = F.concat(lit("class "), F.col("name"), F.when(F.size(above) > 0, F.concat(lit(" : "), F.array_join(above, ", "))).otherwise(lit("")), lit(" {"))
     field = lambda f, start: F.concat(lit(start), f["name"], lit(": "), rules.kotlin_type(f["type"]), lit(" = "), value(f))
@@ -170,14 +176,11 @@ def skeletons(classes: DataFrame, gaps: DataFrame) -> DataFrame:
     text = F.concat(
         some(F.col("package_name") != "", F.array(F.concat(lit("package "), "package_name")), blank),
         some(F.size(imports) > 0, F.transform(imports, lambda i: F.concat(lit("import "), i)), blank),
-        some(F.size(F.coalesce("gaps", F.array().cast(by_name.schema["gaps"].dataType))) > 0, F.array(lit("/*"), lit(" * RECONSTRUCTION NOTES:")), notes, F.array(lit(" */")), blank),
+        some(F.col("notes").isNotNull(), F.array(lit("/*"), lit(" * RECONSTRUCTION NOTES:"), F.col("notes"), lit(" */")), blank),
         F.array(head, lit("")),
         some(F.size(statics) > 0, F.array(lit("    companion object {")), F.transform(statics, lambda f: field(f, "        const val ")), F.array(lit("    }"), lit(""))),
         some(F.size(own) > 0, F.transform(own, lambda f: field(f, "    var ")), blank),
         F.flatten(F.transform("methods", method)),
         F.array(lit("}")),
     )
-    folder = F.translate("package_name", ".", "/")
-    path = F.concat(lit("src/main/java/"), F.when(folder == "", lit("")).otherwise(F.concat(folder, lit("/"))), "name", lit(".kt"))
-    made = rows.select(path.alias("path"), F.concat(F.array_join(text, "\n"), lit("\n")).alias("text"), F.col("file").alias("_from"))
-    return made.groupBy("path").agg(F.max_by("text", "_from").alias("text"))
+    return rows.select("path", F.concat(F.array_join(text, "\n"), lit("\n")).alias("text"))

@@ -251,3 +251,16 @@ def test_stream_of_files(spark, tmp_path):
     stream = watch.watch_auth(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("auth_stream").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert sorted(r["context"] for r in spark.table("auth_stream").collect()) == ["jwt", "x jwt"]
+
+
+def test_skeleton_notes_are_put_together_once_a_name(spark):
+    """600 classes of one name on two paths: each file has the notes of all, and they meet the classes that stay only."""
+    source = "package p{};\nclass ab {{\n  private Object ref;\n}}\n"
+    rows = spark.createDataFrame([(f"f{k:03}", source.format(k % 2)) for k in range(600)], "file string, content string")
+    parsed = structure.parse_classes(rows)
+    made = structure.skeletons(parsed, structure.find_gaps(parsed))
+    got = {r["path"]: r["text"] for r in made.collect()}
+    assert sorted(got) == ["src/main/java/p0/ab.kt", "src/main/java/p1/ab.kt"]
+    assert all(t.count("[obfuscated-name]") == t.count("[unclear-type]") == 600 for t in got.values())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("max_by")
