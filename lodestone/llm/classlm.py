@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut_lineage, table, written
+from lodestone.llm.common import batches_of, cut_lineage, table, written
 
 #: Words whose class and count every task knows.
 HEAD_WORDS = 131_072
@@ -26,6 +26,8 @@ SEED_WORDS, SEED_PASSES = 1022, 4
 CLASSES = 64
 #: Passes of parallel exchange over all head words.
 PASSES = 2
+#: Texts that a Python worker holds at once.
+BATCH = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
 
 
@@ -338,9 +340,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     words = rows.where("not held_out").select(F.explode(words_in(F.col("text"))).alias("word"))
     counts = cut_lineage(words.select(F.xxhash64("word").alias("h")).groupBy("h").agg(F.count("*").alias("n")))
     head = head_of(counts, head_words)
-    encoded = encoded_rows(rows, head)
-    model = fit(encoded, head, encoded.where("not held_out").count(), **options)
-    return scored(encoded, model)
+    with batches_of(docs.sparkSession, BATCH):  # every Python step ends in a file, a checkpoint or the driver
+        encoded = encoded_rows(rows, head)
+        model = fit(encoded, head, encoded.where("not held_out").count(), **options)
+        return scored(encoded, model)
 
 
 def scored(encoded: DataFrame, model: Model) -> DataFrame:

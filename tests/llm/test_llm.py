@@ -805,3 +805,13 @@ def test_unlike_texts_of_one_passage_leave_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "candidates", lambda *a: rows.append(plain(*a).count()) or plain(*a))
     assert jaccard.keep_first(docs_of(spark, [(i, t, "x") for i, t in enumerate(texts)])).count() == 40
     assert sum(rows) < 400
+
+
+def test_class_model_takes_texts_in_small_batches(spark, odd, monkeypatch):
+    """A worker held up to 10,000 texts with all their tokens."""
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], {k: getattr(classlm, k) for k in ("encoded_rows", "exchange_pass", "rare_words", "scored")}
+    for name, f in plain.items():
+        monkeypatch.setattr(classlm, name, lambda *a, f=f, **b: seen.append(spark.conf.get(key)) or f(*a, **b))
+    before = spark.conf.get(key, None)
+    classlm.score_texts(odd, F.col("doc_id") == 4)
+    assert len(seen) >= 4 and set(seen) == {str(classlm.BATCH)} and spark.conf.get(key, None) == before
