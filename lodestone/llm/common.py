@@ -89,12 +89,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until the edges form stars. A
     hub's neighbours meet only in a partial minimum and in a join that can be
     split, so one component may hold any share of the nodes. Each round is
-    checkpointed. Nodes are numbers of any one type. Empty edges give no rows;
-    loops give a node of its own.
+    checkpointed, and so are the edges, which are made once. Nodes are numbers of
+    any one type. Empty edges give no rows; loops give a node of its own.
     """
     spread = edges.select("a", "b").where("a is not null and b is not null")
-    loops = spread.where("a = b").select("a").distinct()
-    now = cut_lineage(spread.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spread = cut_lineage(spread.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    loops, now = spread.where("a = b").select("a"), spread.where("a <> b")
     mark = None
     while True:
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -100,17 +100,18 @@ def near_links(prints: DataFrame, max_bits: int = 4, block: int = BLOCK) -> Data
     if not 1 <= max_bits <= 7:
         raise ValueError("max_bits must be from 1 to 7")
     sets = covering(8 - max_bits, min(KEY_BYTES, 8 - max_bits))
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    keys = []
-    for i, positions in enumerate(sets):
-        key = F.lit(i).cast("long")
-        for p in positions:
-            key = key * 256 + byte(p)
-        keys.append(key)
-    listed = prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
+    # A set is a number of one octal digit a position, so one expression makes the keys of all sets; an expression a set
+    # makes plans and code that the driver has to hold.
+    codes = [sum(p << 3 * k for k, p in enumerate(positions)) for positions in sets]
+    key = F.col("key")
+    for k in range(len(sets[0])):
+        byte = F.call_function("shiftrightunsigned", "fp", (F.shiftright("key", 3 * k).bitwiseAND(F.lit(7)) * 8).cast("int")).bitwiseAND(F.lit(255))
+        key = key * 256 + byte
+    listed = prints.select("fp").distinct().select("fp", F.explode(F.lit(codes).cast("array<long>")).alias("key")).select("fp", key.alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("long")
-    shared = cut_lineage(listed.join(sizes.select("key", blocks.alias("blocks")), "key"))
+    # Spark takes the lists for as small as the fingerprints that they are made of, and without a hint broadcasts them.
+    shared = cut_lineage(listed.hint("merge").join(sizes.select("key", blocks.alias("blocks")).hint("merge"), "key"))
     dealt = shared.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
 
@@ -140,7 +141,7 @@ def rooted_rows(docs: DataFrame, id_col: str, text_col: str, width: int, max_bit
     text = F.col(text_col).cast("string")
     prints = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("twin"), fingerprint(text).alias("fp")))
     wide = lambda c: F.col(c).cast("decimal(21,0)")
-    names = prints.groupBy("fp").agg(F.min("id").alias("first")).select("fp", F.coalesce(wide("first"), wide("fp") + F.lit(str(BEYOND)).cast("decimal(21,0)")).cast("decimal(21,0)").alias("name"))
+    names = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("first")).select("fp", F.coalesce(wide("first"), wide("fp") + F.lit(str(BEYOND)).cast("decimal(21,0)")).cast("decimal(21,0)").alias("name")))
     links = near_links(names.select("fp"), max_bits, block)
     named = links.join(names.select(F.col("fp").alias("a"), F.col("name").alias("one")), "a").join(names.select(F.col("fp").alias("b"), F.col("name").alias("two")), "b")
     roots = connected_components(named.select(F.col("one").alias("a"), F.col("two").alias("b")))

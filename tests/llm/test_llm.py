@@ -134,6 +134,39 @@ def test_components_of_a_chain_and_loops(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    counted = counted.asNondeterministic()  # or a filter has a call of its own
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").select(counted("a").alias("a"), "b")
+    assert connected_components(edges).where("root = 0").count() == 41
+    assert made.value == 40
+
+
+def test_plan_of_the_index_is_small(spark, monkeypatch):
+    """The driver holds the plan: it must not grow with the number of sets of positions, of which there are 70."""
+    plans, cut = [], simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution()) or cut(df))
+    frame = spark.createDataFrame([(0,), (1,), (-1,), (1 << 40,)], "fp long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.near_links(frame)).collect()}
+    assert roots == {0: 0, 1: 0, 1 << 40: 0}
+    assert len(plans) == 1 and len(plans[0].analyzed().toString()) < 6000 and len(plans[0].optimizedPlan().toString()) < 6000
+
+
+def test_posting_lists_are_not_broadcast(spark, monkeypatch):
+    """Few fingerprints by size, but 70 rows each: the driver can't hold them."""
+    plans, cut = [], simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution()) or cut(df))
+    assert simhash.near_links(spark.range(300).select(F.col("id").alias("fp"))).count() > 0
+    text = plans[0].executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
 def test_simhash_odd(spark, odd, none):
     got = simhash.near_groups(odd).collect()
     assert len(got) == 8 and {r["fp"] for r in got if r["id"] in (1, 2, 5)} == {0}
